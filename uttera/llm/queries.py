@@ -7,8 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.llm import quality_rules
-from uttera.llm.common import table
+from uttera.llm import ngram_join, packing, pii, quality_classifier, quality_rules, token_counts
+from uttera.llm.common import table, written
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def gpt_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets and batches of every document by its number of tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = token_counts.tokens_column(docs, tokenizer_path("byte_bpe_50k.json"), gpt_pattern())
+    return packing.packing_plan(docs, n)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posteriors and verdict of every document; host: source, path: source and language."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    light = docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), model.column(F.col("text")).alias("p"))
+    light = written(light, "evidence")
+    sites, top = quality_classifier.site_posteriors(light)
+    return quality_classifier.judged(light, sites, top)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the byte-level BPE vocabulary."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), gpt_pattern())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +58,37 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality_rules.*").drop("n_lines", "n_upper")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": op4_packing,
+        "op5_pii": op5_pii,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.r)
+SELECT s.doc_id, s.n AS n_shingles, min(r) AS component_id FROM sizes s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_ngram_join": OP10_SQL}
