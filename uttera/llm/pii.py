@@ -7,7 +7,7 @@
   and card number starts), words in the context before the span, and the characters beside it.
 * Votes are counted by kind and pattern over all documents (grouped aggregation; the number of patterns is
   bounded by the labelers). EM on these counts (Dawid-Skene, one coin for each labeler and class) gives each
-  pattern a posterior; a logistic regression on the votes is trained on the posteriors and decides on
+  pattern a posterior, base spans being known cases; a logistic regression on the votes is trained on the posteriors and decides on
   candidates that aren't base spans. One that overlaps a base span is never added.
 
 Defined cases: a null text counts as empty and has no spans. Rows are independent given the pattern counts; repeated rows repeat their
@@ -116,7 +116,7 @@ def votes(text: str, start: int, end: int, kind: str, check: int) -> str:
     else:
         layout = 1 if not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 0
         gazetteer = 0 if span.startswith("0.") else ABSTAIN
-    context = 1 if _CONTEXT[kind].search(left) else ABSTAIN
+    context = 1 if _CONTEXT[kind].search(left) else (0 if check == ABSTAIN else ABSTAIN)
     beside = 0 if before.isalnum() or after.isalnum() or before in ("-", "/", "=") and before else 1
     return f"{check}{layout}{gazetteer}{context}{beside}"
 
@@ -185,16 +185,20 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tupl
             continue
         v = np.array([[int(c) for c in x] for x, _ in rows])
         n = np.array([c for _, c in rows], float)
-        cast = v != ABSTAIN
+        cast, sure, open_ = v != ABSTAIN, v[:, 0] == 1, v[:, 0] != 1
         post = np.where(cast.any(1), (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1), 0.5)
         for _ in range(rounds):
-            prior = float(np.clip((post * n).sum() / n.sum(), 0.02, 0.98))
+            # base spans are known to be personal data; the prior is that of the other candidates
+            post = np.where(sure, 1.0, post)
+            prior = float(np.clip((post * n)[open_].sum() / n[open_].sum(), 0.02, 0.5)) if open_.any() else 0.5
             # each labeler is right more often than not; smoothing by two votes keeps rare ones near that
             hit = ((n * post)[:, None] * (cast & (v == 1))).sum(0) + 1.6
             one = hit / (((n * post)[:, None] * cast).sum(0) + 2)
             hit = ((n * (1 - post))[:, None] * (cast & (v == 0))).sum(0) + 1.6
             zero = hit / (((n * (1 - post))[:, None] * cast).sum(0) + 2)
             one, zero = np.clip(one, 0.55, 0.99), np.clip(zero, 0.55, 0.99)
+            # personal data rarely fails its own check digits, and a form without a check needs its context
+            one[0], one[3] = max(one[0], 0.98), max(one[3], 0.8)
             yes = np.where(cast, np.where(v == 1, np.log(one), np.log(1 - one)), 0).sum(1) + math.log(prior)
             no = np.where(cast, np.where(v == 0, np.log(zero), np.log(1 - zero)), 0).sum(1) + math.log(1 - prior)
             post = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))

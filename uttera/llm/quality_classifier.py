@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from uttera.llm.common import free_name, salted_lookup, written
 
-#: Hashed word features; the last CLASSES positions hold the character shares.
-WIDTH = 1 << 15
+#: Hashed word features; the last positions hold the character shares.
+WIDTH = 1 << 17
 SAMPLE = 6_000
 #: Sites up to which their table is broadcast (about 100 bytes each); above, the join is shuffled and salted.
 BROADCAST_SITES = 20_000
@@ -98,7 +98,7 @@ class Evidence:
         return score(text)
 
 
-def train(rows: list[list[int]], good: np.ndarray, rounds: int = 250, l2: float = 0.05) -> Evidence:
+def train(rows: list[list[int]], good: np.ndarray, rounds: int = 250, l2: float = 5.0) -> Evidence:
     """Logistic regression by Adam on sparse presence features, the classes weighted alike."""
     if not len(good) or good.all() or not good.any():
         return Evidence(np.zeros(WIDTH), 0.0)
@@ -183,7 +183,7 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judged(evidence: DataFrame, sites: DataFrame, top: float, site_weight: float = 0.25, threshold: float = 0.5) -> DataFrame:
+def judged(evidence: DataFrame, sites: DataFrame, top: float, site_weight: float = 0.25, threshold: float = 0.4) -> DataFrame:
     """evidence with host_posterior, path_posterior, posterior and kept.
 
     The table of sites is broadcast while it has at most BROADCAST_SITES rows; beyond, the join is
