@@ -1,0 +1,109 @@
+"""Quality rules and the quality classifier."""
+
+import re
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+import oracle
+from uttera.llm import quality_classifier, quality_rules
+from uttera.session import ship
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain(text):
+    text = text or ""
+    w = WORD.findall(text)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    c, seen, dup, covered = Counter(grams), set(), 0, set()
+    for i, g in enumerate(grams):
+        if c[g] > 1:
+            covered |= {i, i + 1, i + 2}
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed
+
+
+TEXTS = [
+    None, "", " \t\n", "a", "a a a a", "a a a a a", "a b c a b c", "x y z " * 40, "é # * | <>\x0b漢\x0c z z", "line one\nline one\n\n \nline one", "\n\nab\n",
+    " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i % 150}" for i in range(600)), "word " * 30_000, "x" * 100_000, " ".join(f"v{i}" for i in range(60)) + " a b c a b c",
+]
+
+
+def test_statistics(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("n_words", F.lit("x")).withColumn("quality_rules", F.lit(1))
+    got = {r.doc_id: r["_quality_rules"] for r in quality_rules.apply(df, quality_rules.DecisionList()).collect()}
+    for i, t in enumerate(TEXTS):
+        s = got[i]
+        assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed) == plain(t), t and t[:40]
+        assert s.kept == (not s.base_failed)
+    assert quality_rules.apply(df.limit(0), quality_rules.DecisionList()).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    df = quality_rules.apply(spark.createDataFrame([(1, "a")], "doc_id long, text string"), quality_rules.DecisionList())
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_learning():
+    rng = np.random.default_rng(0)
+    x = rng.random((900, 3))
+    bad = (x[:, 0] > 0.7) & (x[:, 1] < 0.5) | (x[:, 2] > 0.9)
+    rules = quality_rules.learn(x, bad, ["a", "b", "c"])
+    said = np.zeros(900, bool)
+    for rule in rules.rules:
+        said |= quality_rules._meets(x, [("abc".index(n), up, v) for n, up, v in rule.tests])
+    assert (said == bad).mean() > 0.97 and (said & ~bad).mean() < 0.02
+    assert quality_rules.learn(np.zeros((0, 3)), np.zeros(0, bool), ["a", "b", "c"]).rules == ()
+    assert quality_rules.learn(x, np.zeros(900, bool), ["a", "b", "c"]).rules == ()
+
+
+def test_rule_as_column(spark):
+    rules = quality_rules.DecisionList((quality_rules.Rule((("symbols_per_word", True, 0.5),)), quality_rules.Rule((("n_words", True, 60.0), ("mean_word_chars", False, 2.0)))))
+    texts = ["ab# " * 60, "a " * 60, "abc " * 60]
+    df = spark.createDataFrame([(i, " ".join(f"{w}{k % 9}" if i == 2 else w for k, w in enumerate(t.split()))) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r[0] for r in quality_rules.apply(df, rules).select("quality_rules.rule").collect()] == [1, 2, 0]
+
+
+def test_held_out_accuracy(spark):
+    ship(spark)
+    sf = oracle.SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = quality_rules.apply(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    clean = got.where("quality = 1 and toxic = 0 and not quality_rules.base_failed")
+    assert clean.where("quality_rules.kept").count() >= 0.97 * clean.count()
+    model = quality_classifier.fit(docs, labels.where("doc_id % 2 = 0"))
+    judged = quality_classifier.classify(docs, model, F.col("source"), F.col("lang")).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("q"), "toxic"), "doc_id")
+    good, low = judged.where("q = 1 and toxic = 0"), judged.where("q = 0")
+    assert good.where("quality.kept").count() >= 0.95 * good.count()
+    assert low.where("not quality.kept").count() >= 0.6 * low.count()
+
+
+def test_sites_shrink(spark):
+    rows = [("a", "x", 0.9)] * 200 + [("b", "x", 0.1)] * 200 + [("c", "y", 0.0)] + [("b", "z", 0.9)] + [(None, None, 0.5)]
+    ev = spark.createDataFrame(rows, "host string, path string, p double")
+    sites, top = quality_classifier.site_posteriors(ev)
+    got = {(r.host, r.path): r for r in sites.collect()}
+    mean = sum(p for *_, p in rows) / len(rows)
+    assert abs(top - mean) < 1e-9 and len(got) == 5
+    assert got["a", "x"].path_posterior > 0.85 and got["b", "x"].path_posterior < 0.15
+    assert 0.0 < got["c", "y"].path_posterior < mean and got["c", "y"].path_posterior < got["c", "y"].host_posterior
+    assert sum(r.n_docs for r in got.values()) == len(rows)
+    judged = quality_classifier.judged(ev, sites, top)
+    assert judged.count() == len(rows) and judged.where("path_posterior is null").count() == 0
+
+
+def test_classifier_edges(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, None, "s", None), (1, "a b", None, "x"), (2, "c " * 50_000, "s", "x")], "doc_id long, text string, source string, quality string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs, labels)
+    got = quality_classifier.classify(docs, model, F.col("source"), F.lit("p")).collect()
+    assert len(got) == 3 and all(r["_quality"].kept for r in got)
+    assert quality_classifier.classify(docs.limit(0), model, F.col("source"), F.lit("p")).count() == 0
