@@ -54,7 +54,7 @@ def test_estimates():
 
 def test_table(spark):
     ship(spark)
-    texts = [None, "", "mail a.b@x.com now", "mail a.b@x.com now", "ip 10.0.0.1", "x" * 300_000 + " q@r.st", "call +14155550100", "card 4111 1111 1111 1111", "clean words only"] * 3
+    texts = [None, "", "mail a.b@x.com now", "mail a.b@x.com now", "ip 10.0.0.1", "x" * 3_000 + " q@r.st", "call +14155550100", "card 4111 1111 1111 1111", "clean words only"] * 3
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("base", F.lit(1))
     got = {r.doc_id: r for r in pii.find_spans(df).collect()}
     for i, t in enumerate(texts):

@@ -9,7 +9,7 @@ from uttera.session import ship
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-COUNTER = token_counts.Counter2(PATH, public_tokenizers.PATTERN, {" the": 1})
+COUNTER = token_counts.TokenCounter(PATH, public_tokenizers.PATTERN, {" the": 1})
 
 
 def library(text):
