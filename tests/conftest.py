@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def spark():
     os.environ.setdefault("PYTHONHASHSEED", "0")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
