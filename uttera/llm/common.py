@@ -58,6 +58,17 @@ def salted_lookup(rows: DataFrame, small: DataFrame, on: list[str], salt_of: Col
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) -> None:
+    """Let no more than `rows` rows, and about `megabytes`, go to a Python worker at a time: texts can be long.
+
+    The default of 10,000 rows holds several copies of tens of megabytes in each worker. Smaller settings stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, most)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of df has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

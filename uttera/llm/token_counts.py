@@ -13,6 +13,7 @@ result; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,10 +22,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from uttera.llm.common import small_batches
+
 #: Entries of the broadcast table, and rows and characters a text of the sample that it is filled from.
-TABLE, SAMPLE_ROWS = 60_000, 2_000
+TABLE, SAMPLE_ROWS = 60_000, 4_000
 #: Pre-tokens that a worker remembers; longer ones than LONG bytes aren't remembered.
-CACHE, LONG = 1_000_000, 64
+CACHE, LONG = 300_000, 64
+#: Characters of texts whose misses are encoded together.
+GROUP = 1_000_000
 LIMIT = 1024
 
 
@@ -34,55 +39,71 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Counter2:
+#: Letters of the texts that the quick pattern serves. In texts of these, ASCII and the usual blanks alone, it splits as the full one.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_QUICK = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+").findall
+_SIMPLE = re.compile(rf"[\t-\r\x20-\x7e{_LATIN}×÷]*").fullmatch
+#: The pattern that _QUICK stands for: that of the byte-level pre-tokenizer. Fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class TokenCounter:
     """Counts the tokens of texts for a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str, pattern: str, table: dict[str, int]):
         self.tokenizer = _load(path)
         self.find = regex.compile(pattern).findall
+        self.quick = pattern == BYTE_LEVEL
         self.known = dict(table)
-        self.base = len(self.known)
-        self.table = table
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))).split if specials else None
-        self.specials = specials
+        self.most = len(self.known) + CACHE
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or "(?!)").split
 
-    def missing(self, words: set[str]) -> dict[str, int]:
-        words = list(words)
-        return {w: len(e.ids) for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
-
-    def count(self, text: str) -> int:
-        extra, parts = 0, [text]
+    def words(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text and the number of special strings between them."""
         if any(s in text for s in self.specials):
             parts = self.split(text)
-            extra = len(parts) - 1
-        total = extra
-        for part in parts:
-            words = self.find(part)
+            return [w for p in parts for w in self.find(p)], len(parts) - 1
+        if self.quick and _SIMPLE(text):
+            return _QUICK(text), 0
+        return self.find(text), 0
+
+    def encoded(self, words: set[str]) -> dict[str, int]:
+        """Numbers of tokens as the library gives them."""
+        words = list(words)
+        return {w: len(e.ids) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; misses of the whole list go to the library at once."""
+        out, waiting, missing, known = [], [], set(), self.known
+        for k, text in enumerate(texts):
+            words, special = self.words(text) if text else ([], 0)
             try:
-                total += sum(map(self.known.__getitem__, words))
+                out.append(sum(map(known.__getitem__, words)) + special)
             except KeyError:
-                total += self._slow(words)
-        return total
-
-    def _slow(self, words: list[str]) -> int:
-        known = self.known
-        new = self.missing({w for w in words if w not in known})
-        out = sum(known[w] if w in known else new[w] for w in words)
-        if len(known) + len(new) > self.base + CACHE:
-            known = self.known = dict(self.table)
-        known.update((w, n) for w, n in new.items() if len(w) <= LONG)
+                out.append(special)
+                waiting.append((k, words))
+                missing.update(w for w in words if w not in known)
+        if waiting:
+            new = self.encoded(missing)
+            for k, words in waiting:
+                out[k] += sum([known[w] if w in known else new[w] for w in words])
+            if len(known) < self.most:  # a full cache stays as it is: what it lacks is rare
+                known.update((w, n) for w, n in new.items() if len(w) <= LONG)
         return out
 
+    def count(self, text: str) -> int:
+        return self.counts([text])[0]
+
 
 _COUNTERS: dict = {}
 
 
-def _counter(path: str, pattern: str, table: dict[str, int], key: str) -> Counter2:
+def _counter(path: str, pattern: str, table: dict[str, int], key: str) -> TokenCounter:
     """One counter for each worker and table; workers are reused between tasks, and so are their caches."""
     if key not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = Counter2(path, pattern, table)
+        _COUNTERS[key] = TokenCounter(path, pattern, table)
     return _COUNTERS[key]
 
 
@@ -102,13 +123,14 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text
     seen: Counter = Counter()
     for row in sample.select(tally(F.col(text)).alias("m")).collect():
         seen.update(row["m"])
-    counter = Counter2(path, pattern, {})
+    counter = TokenCounter(path, pattern, {})
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE] if len(w) <= LONG]
-    return counter.missing(set(words)) if words else {}
+    return counter.encoded(set(words)) if words else {}
 
 
 def tokens_column(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Column:
     """A column with the number of tokens of `text`."""
+    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, pattern, text))
     key = f"{path}/{id(table)}/{len(table.value)}"
 
@@ -116,7 +138,14 @@ def tokens_column(docs: DataFrame, path: str, pattern: str, text: str = "text")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(path, pattern, table.value, key)
         for batch in batches:
-            yield pd.Series([counter.count(t) if t else 0 for t in batch], dtype="int64")
+            out, group, size = [], [], 0
+            for text in batch:
+                group.append(text)
+                size += len(text or "")
+                if size >= GROUP:
+                    out += counter.counts(group)
+                    group, size = [], 0
+            yield pd.Series(out + counter.counts(group), dtype="int64")
 
     return count(F.col(text))
 
