@@ -26,6 +26,8 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from uttera.llm.common import small_batches
+
 TURN, MID, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: Control strings that texts may not hold: this template's and those of other public templates. Fixed values.
 CONTROL = (
@@ -210,6 +212,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def records(turns: DataFrame) -> DataFrame:
     """conv_id, segment, record (JSON) of turn rows (conv_id, turn, role, text)."""
+    small_batches(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_records, "conv_id long, segment long, record string")
 

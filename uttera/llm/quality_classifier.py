@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import free_name, salted_lookup, written
+from uttera.llm.common import free_name, salted_lookup, small_batches, written
 
 #: Hashed word features; the last positions hold the character shares.
 WIDTH = 1 << 17
@@ -77,21 +77,22 @@ class Evidence:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, tuple[int, float]] = {}
+            known: dict[str, int] = {}
             for batch in batches:
                 out = []
                 for text in batch:
                     text = text or ""
-                    if len(known) > 1_000_000:
+                    if len(known) > 150_000:
                         known.clear()
-                    got = {}
+                    got: set[int] = set()
                     for w in set(_WORD.findall(text.lower())):
                         x = known.get(w)
                         if x is None:
-                            x = known[w] = (k := slot(w), float(weights[k]))
-                        if x[1]:
-                            got[x[0]] = x[1]
-                    z = bias + sum(got.values()) + float(sum(weights[k] for k in steps(text)))
+                            k = slot(w)
+                            x = known[w] = k if weights[k] else -1
+                        if x >= 0:
+                            got.add(x)
+                    z = bias + float(weights[list(got)].sum()) + float(sum(weights[k] for k in steps(text)))
                     out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
                 yield pd.Series(out, dtype="float64")
 
@@ -124,6 +125,7 @@ def train(rows: list[list[int]], good: np.ndarray, rounds: int = 250, l2: float
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     """Train on four fifths of the sample; the accuracy on the rest is kept with the model."""
+    small_batches(docs.sparkSession)
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import salted_lookup, shared_path, written
+from uttera.llm.common import salted_lookup, shared_path, small_batches, written
 
 MIN_REVISIT = 100
 #: Compressed bytes of records in a package, and of one range read.
@@ -199,6 +199,7 @@ def _writer(folder: str):
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as packages; returns path, size, records of each package."""
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # equal payloads: partial minima before the shuffle; only payloads that recur are looked up, on salted keys
