@@ -67,7 +67,7 @@ def partition_summary(spark, sf_dir):
     )
 
 
-@query(f"""WITH {UTT_SQL} SELECT 20.0 + b * 5.0 AS bin_start, count(age) AS n FROM range(12) r(b) LEFT JOIN man ON age >= 20 AND age < 80 AND floor((age - 20) / 5) = b GROUP BY b""")
+@query(f"""WITH {UTT_SQL} SELECT CAST(20 + b * 5 AS DOUBLE) AS bin_start, count(age) AS n FROM range(12) r(b) LEFT JOIN man ON age >= 20 AND age < 80 AND floor((age - 20) / 5) = b GROUP BY b""")
 def age_histogram_5y(spark, sf_dir):
     return evaluation.histogram(utterances(spark, sf_dir), "age", 20.0, 5.0, 12)
 
@@ -322,7 +322,7 @@ def accuracy(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("n"), r6(F.avg((F.col("quality") == F.col("toxic")).cast("int"))).alias("accuracy"))
 
 
-@query("""SELECT count(*) AS n, sum(quality) AS em, sum(toxic) AS judged, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS clean_correct,
+@query("""SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS em, CAST(sum(toxic) AS BIGINT) AS judged, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS clean_correct,
   count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS wording_artifact, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS genuine_error,
   count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS judge_slip FROM labels""")
 def judge_crosstab(spark, sf_dir):
@@ -504,7 +504,7 @@ def layer_fusion_softmax(spark, sf_dir):
     return v.select("fileid", F.round(A.total(F.col("v")), 5).alias("total"), F.round(F.get("v", F.lit(0)), 5).alias("first"))
 
 
-@query(f"WITH {FRAMES_SQL} SELECT fileid, 20.0 + 7 * label AS y1, 2 * len(x) AS dims, round(2 * list_sum(x), 6) AS total FROM fr")
+@query(f"WITH {FRAMES_SQL} SELECT fileid, CAST(20 + 7 * label AS DOUBLE) AS y1, 2 * len(x) AS dims, round(2 * list_sum(x), 6) AS total FROM fr")
 def feature_concat_align(spark, sf_dir):
     a = frames(spark, sf_dir).withColumn("y", 20.0 + 7 * F.col("label"))
     both = evaluation.aligned(a, a.withColumn("x", F.reverse("x")), "fileid", "y", "x").withColumn("v", F.concat("v1", "v2"))
