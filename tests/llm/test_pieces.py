@@ -34,7 +34,7 @@ def test_segments_against_all(model):
 
 
 def test_texts_against_all(model):
-    for text in ("the in", "a", "  x  y", "an é", "\n\t", "e s", "漢 \u2581"):
+    for text in ("the in", "a", "  x  y", "an é", "\n\t", "e s", "漢 \u2581", "a,", "(e", ",a b"):
         want = sorted(every(model, pieces.normal(text)), key=lambda x: -x[0])[:4]
         got = model.encode(text, 4)
         assert [x for x, _ in got] == [x for x, _ in want]
