@@ -586,7 +586,7 @@ wer AS (SELECT doc_id, lang, len(r) AS n_ref, CAST(list_reduce(r, lambda prev, r
 
 def _wer(spark, sf_dir):
     p = text_pairs(spark, sf_dir).withColumn("r", T.number_normalised(T.tokens(F.col("ref")))).withColumn("h", T.number_normalised(T.tokens(F.col("hyp"))))
-    return p.select("doc_id", "lang", F.size("r").cast("long").alias("n_ref"), T.word_edits(F.col("r"), F.col("h")).cast("long").alias("edits"))
+    return p.select("doc_id", "lang", F.size("r").cast("long").alias("n_ref"), dsp.edit_distance_column(F.col("r"), F.col("h")).cast("long").alias("edits"))
 
 
 @query(_WER + " SELECT doc_id, n_ref, edits FROM wer")
