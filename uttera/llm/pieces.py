@@ -24,8 +24,11 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +188,11 @@ class Lattice:
         """The n best (score, ids) of a text."""
         if not text:
             return [(0.0, [])]
-        parts = [self.segment(s, n) for s in self.segments(normal(text))]
-        top = float(sum(p[0][0] for p in parts))
+        if n != self.known_n:
+            self.segment("", n)
+        known = self.known
+        parts = [known.get(s) or self.segment(s, n) for s in self.segments(normal(text))]
+        top = float(sum([p[0][0] for p in parts]))
         loss = [(p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1]
         loose = sorted(k for _, k in heapq.nsmallest(n - 1, loss))
         # each state: (loss so far, choice for each loose segment)
@@ -194,10 +200,12 @@ class Lattice:
         for k in loose:
             p = parts[k]
             states = heapq.nsmallest(n, ((d + p[0][0] - p[j][0], c + (j,)) for d, c in states for j in range(len(p))))
+        chosen = [p[0][1] for p in parts]
         out = []
         for d, choice in states:
-            pick = dict(zip(loose, choice, strict=True))
-            out.append((top - d, [i for k, p in enumerate(parts) for i in p[pick.get(k, 0)][1]]))
+            for k, j in zip(loose, choice, strict=True):
+                chosen[k] = parts[k][j][1]
+            out.append((top - d, list(chain.from_iterable(chosen))))
         return out
 
     def best(self, text: str, n: int = N_BEST) -> tuple[list[tuple[int, ...]], float, list[float]]:
@@ -249,29 +257,73 @@ def lattice(path: str) -> Lattice:
     return _LATTICES[path]
 
 
-_BEST = "n_pieces long, best_score double, n_best int, last_score double, pieces_sha256 string, round_trip boolean"
+#: What n_best_column gives for each text, best first.
+HYPOTHESES = "array<struct<score: double, ids: array<int>>>"
+_CHECKED = "array<struct<score: double, n_pieces: bigint, pieces_sha256: string, round_trip: boolean>>"
 
 
 def n_best_column(text: Column, path: str, n: int = N_BEST) -> Column:
-    """Struct _BEST for each text: size, score and digest of the best segmentation, the n-th score, exact decoding."""
+    """HYPOTHESES of each text: score and ids of the n best segmentations."""
 
-    @F.pandas_udf(_BEST)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(HYPOTHESES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = lattice(path)
         for batch in batches:
-            rows = []
-            for text in batch:
-                text = text or ""
-                parts, top, scores = model.best(text, n)
-                ids = [i for p in parts for i in p]
-                back = model.decode(ids) if ids else ""
-                rows.append((len(ids), top, len(scores), scores[-1], hashlib.sha256(array("i", ids).tobytes()).hexdigest(), back == text.replace(MARK, " ")))
-            yield pd.DataFrame(rows, columns=["n_pieces", "best_score", "n_best", "last_score", "pieces_sha256", "round_trip"])
+            scores, ids = array("d"), array("i")
+            ends, rows = array("i", [0]), array("i", [0])
+            for text in batch.to_pylist():
+                for score, one in model.encode(text or "", n):
+                    scores.append(score)
+                    ids.extend(one)
+                    ends.append(len(ids))
+                rows.append(len(scores))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32)))
+            pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(scores, np.float64)), lists], ["score", "ids"])
+            yield pa.ListArray.from_arrays(pa.array(np.frombuffer(rows, np.int32)), pairs)
 
     return run(text)
 
 
-def n_best_texts(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """doc_id and _BEST of each row of docs (doc_id, text)."""
+def checked_column(text: Column, hypotheses: Column, path: str) -> Column:
+    """For each of the HYPOTHESES of a text its score, size, digest and whether it decodes to the text."""
+
+    @F.arrow_udf(_CHECKED)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = lattice(path)
+        for texts, found in batches:
+            ids = found.flatten().field("ids")
+            values, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), ids.offsets.to_numpy()
+            sizes, digests, exact = [], [], []
+            at = 0
+            for text, n in zip(texts.to_pylist(), pc.list_value_length(found).to_pylist(), strict=True):
+                want = (text or "").replace(MARK, " ")
+                for k in range(at, at + n):
+                    one = values[ends[k] : ends[k + 1]]
+                    sizes.append(len(one))
+                    digests.append(hashlib.sha256(one.tobytes()).hexdigest())
+                    exact.append((model.decode(one.tolist()) if len(one) else "") == want)
+                at += n
+            columns = [found.flatten().field("score"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(exact, pa.bool_())]
+            rows = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(rows), pa.StructArray.from_arrays(columns, ["score", "n_pieces", "pieces_sha256", "round_trip"]))
+
+    return run(text, hypotheses)
+
+
+def n_best(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
+    """doc_id, text and HYPOTHESES of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", n_best_column(F.col("text"), path, n).alias("b")).select("doc_id", "b.*")
+    return docs.select("doc_id", "text", n_best_column(F.col("text"), path, n).alias("hypotheses"))
+
+
+def n_best_texts(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
+    """Each row of docs (doc_id, text) with score, size, digest and decoding of its n best segmentations.
+
+    Size, score and digest of the best one and the score of the last also stand alone; round_trip holds for all n.
+    """
+    rows = n_best(docs, path, n).select("doc_id", checked_column(F.col("text"), F.col("hypotheses"), path).alias("h"))
+    best, last = F.col("h")[0], F.element_at("h", -1)
+    return rows.select(
+        "doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("best_score"), F.size("h").alias("n_best"), last["score"].alias("last_score"),
+        best["pieces_sha256"].alias("pieces_sha256"), F.forall("h", lambda x: x["round_trip"]).alias("round_trip"), F.col("h").alias("hypotheses"),
+    )
