@@ -91,3 +91,21 @@ def test_distances_against_all(monkeypatch, cells):
             hyp = hyp[:at] + block + [rng.choice(some + "z")] * rng.randrange(2) + hyp[at:]
         assert edit_distance(ref, hyp) == edits(ref, hyp)
         assert translation_edits(ref, hyp) == greedy(ref, hyp)
+
+
+def test_answers_are_scored_whole(spark, tmp_path):
+    ship(spark)
+    rng = random.Random(6)
+    answers = [" ".join(rng.choice(["Co-op", "a,", "b", "c", "é"]) + str(rng.randrange(4)) for _ in range(n)) for n in (0, 2, 3, 12, 13, 14, 40)]
+    turns = [(k, t, "user" if t % 2 == 0 else "assistant", x) for k, a in enumerate(answers) for t, x in ((k * 2, "q"), (k * 2 + 1, a))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["em_f1_turns"](spark, str(tmp_path)).collect()}
+    rows = {r.conv_id: r for r in QUERIES["em_f1_rollup"](spark, str(tmp_path)).collect()}
+    for k, answer in enumerate(answers):
+        gold = tokens(answer)
+        pred = gold if k * 2 % 3 == 0 else gold[3:]
+        common = sum(min(gold.count(w), pred.count(w)) for w in set(gold))
+        f1 = 1.0 if not gold and not pred else 0.0 if not gold or not pred else 2 * common / (len(gold) + len(pred))
+        assert (got[k].em_strict, got[k].f1) == (int(gold == pred), round(f1, 6))
+        assert (rows[k].em, rows[k].f1) == (int(gold == pred), round(f1, 6))
+    assert got[5].f1 == round(2 * 11 / 25, 6)

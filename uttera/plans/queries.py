@@ -608,7 +608,8 @@ sc AS (SELECT conv_id, turn, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CAS
 
 def _qa(spark, sf_dir):
     a = turn_pairs(spark, sf_dir).select("conv_id", "turn", T.tokens(F.col("answer")).alias("a"))
-    a = a.select("conv_id", "turn", F.slice("a", 1, 12).alias("g"), F.when(F.col("turn") % 3 == 0, F.slice("a", 1, 12)).otherwise(F.slice("a", 4, 10)).alias("p"))
+    rest = F.filter("a", lambda w, i: i >= 3)  # the whole answer without its first three words
+    a = a.select("conv_id", "turn", F.col("a").alias("g"), F.when(F.col("turn") % 3 == 0, F.col("a")).otherwise(rest).alias("p"))
     return a.select(
         "conv_id", "turn", F.when(F.col("g") == F.col("p"), 1).otherwise(0).alias("em_strict"),
         F.when(F.contains(F.array_join("p", " "), F.array_join(F.slice("g", 4, 3), " ")), 1).otherwise(0).alias("em_contains"), T.token_f1(F.col("g"), F.col("p")).alias("f1"),
