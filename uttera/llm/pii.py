@@ -44,6 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]{3}|\+")
+#: What every card holds.
+_PAIR = re.compile(r"[0-9][\x20-]?[0-9]")
 _SPELLED = re.compile(r"(?<![\w.@])[A-Za-z0-9][A-Za-z0-9._-]{0,63}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}(?!\w)")
 _LAYOUT = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9.-])")
 _CONTEXT = {
@@ -86,9 +88,10 @@ def base_spans(text: str) -> list[tuple[int, int, str, bool]]:
     out = []
     if "@" in text:
         out += [(s, e, "email", True) for s, e in emails(text)]
-    if _DIGITS.search(text) or "." in text:
+    if "." in text:
         for m in _IP.finditer(text):
             out.append((m.start(), m.end(), "ip", all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))))
+    if _PAIR.search(text):
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
