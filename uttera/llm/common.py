@@ -69,6 +69,31 @@ def small_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) ->
             spark.conf.set(key, most)
 
 
+class Recent(dict):
+    """A worker's cache of two generations, `most` entries each: what is met again moves to the younger, the older is dropped.
+
+    One entry is in both at times. Call age() between uses; within one, nothing that unknown() left out goes. The entries
+    of `always` stay for good.
+    """
+
+    def __init__(self, most: int, always: dict | None = None):
+        super().__init__(always or {})
+        self.most, self.old, self.always = most, {}, always or {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys: set) -> set:
+        return keys.difference(self).difference(self.old)
+
+    def age(self) -> None:
+        if len(self) > len(self.always) + self.most:
+            self.old = {k: v for k, v in self.items() if k not in self.always}
+            self.clear()
+            self.update(self.always)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of df has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

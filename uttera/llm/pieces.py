@@ -5,9 +5,10 @@ that score as its heuristic, which is exact, so hypotheses leave the agenda in o
 score and the first n that reach the start are the n best.
 
 A piece holds the blank mark only at its front, so the lattice splits before each run of marks; it also splits between
-characters that stand side by side in no piece, such as letters and punctuation. Segments are
-searched once for each distinct one and worker (a bounded cache); the n best of a text are composed from its
-segments' lists: only the n - 1 segments with the smallest loss from best to second can differ from their best.
+characters that stand side by side in no piece, such as letters and punctuation. The n best of a text are composed from
+its segments: only the n - 1 segments with the smallest loss from best to second can differ from their best. So each
+segment is searched for its best and that loss (many segments at once in numpy, remembered in a bounded cache), and
+these n - 1 for their n best.
 
 Scores are the model's own. Pieces that the model marks as never merged (scores under -1e8) and control pieces are no
 lattice edges, except that a character without any piece is spelled in byte pieces at BYTE each (the model's byte
@@ -24,7 +25,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import small_batches
+from uttera.llm.common import Recent, small_batches
 
 MARK = "▁"
 BYTE = -100_000.0
 N_BEST = 4
 INFINITE = float("inf")
-CACHE, LONG = 200_000, 64
+#: Segments that a worker remembers; segments over LONG characters are searched one by one, others CHUNK at a time.
+CACHE, LONG, CHUNK = 120_000, 64, 4_096
+#: Characters of texts that are segmented together.
+GROUP = 1_000_000
+#: No code point.
+_NONE = (1 << 21) - 1
+_SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
 class Lattice:
@@ -72,9 +78,13 @@ class Lattice:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds the blank mark inside")
         self.segments = re.compile(self._pattern()).findall
-        self.known: dict[str, list] = {}
+        #: Of a segment: ids of the best, its score, the loss of the second.
+        self.known = Recent(CACHE)
+        self.several: dict[str, list[tuple[float, bytes]]] = {}
         self.known_n = 0
-        self.spelled = {i: b for b, i in enumerate(self.bytes)}
+        spelled = {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.spelling = pa.array([spelled.get(i, name.replace(MARK, " ").encode()) for i, name in enumerate(self.names)], pa.binary())
+        self._tables()
 
     def _pattern(self) -> str:
         """Where texts split: before blank marks, and between characters that no piece brings together.
@@ -173,74 +183,188 @@ class Lattice:
             heapq.heappush(agenda, (nxt[0] - done, nxt[1], number, start, 0, done, tail))
         return out
 
-    def segment(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def search(self, segments: list[str]) -> list[tuple[bytes, float, float]]:
+        """For each segment the ids of its best segmentation (int32 bytes), its score, and the loss of the second best.
+
+        Forward Viterbi over many segments at once. The backward search needs no agenda for two hypotheses: the first follows
+        the best way into each node, and as the heuristic is exact, what it leaves on the agenda (the other ways
+        into the nodes of its path) holds the whole score of the second.
+        """
+        out: list = [None] * len(segments)
+        order = sorted((k for k, s in enumerate(segments) if len(s) <= LONG), key=lambda k: len(segments[k]))
+        for at in range(0, len(order), CHUNK):
+            part = order[at : at + CHUNK]
+            for k, got in zip(part, self._search([segments[k] for k in part]), strict=True):
+                out[k] = got
+        for k, got in enumerate(out):
+            if got is None:  # long, or best spelled in bytes
+                both = self.n_best(segments[k], 2)
+                loss = both[0][0] - both[1][0] if len(both) > 1 else INFINITE
+                out[k] = (np.array(both[0][1], np.int32).tobytes(), both[0][0], loss)
+        return out
+
+    def _search(self, segments: list[str]) -> list[tuple[bytes, float, float] | None]:
+        rows, sizes = len(segments), np.fromiter(map(len, segments), np.int64, len(segments))
+        width = int(sizes[-1])
+        points = np.full((rows, width), _NONE, np.int64)
+        points[np.arange(width)[None] < sizes[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.ascontiguousarray(points.T)  # a row for each position, as in the other tables
+        best = np.full((width + 1, rows), -INFINITE)
+        best[0] = 0.0
+        way = np.full((width + 1, rows), -1, np.int64)  # the best way into a node, by its number
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        spans: list[tuple[int, int, int]] = []
+        number = 0
+        for at in range(width):
+            alive = np.arange(np.searchsorted(sizes, at, "right"), rows)  # segments are sorted by size
+            node, end, here = np.zeros(len(alive), np.int64), at, best[at]
+            while len(alive) and end < width:
+                node = self.step(node, points[end][alive])
+                piece = self.ends[node]  # none for node -1
+                end += 1
+                r, p = alive, piece
+                if end == at + 1:  # a character without a piece is spelled in bytes
+                    point = points[at][alive]
+                    value = np.where(piece >= 0, self.values[piece], BYTE * (1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)))
+                else:
+                    ends = np.flatnonzero(piece >= 0)
+                    r, p = alive[ends], piece[ends]
+                    value = self.values[p]
+                whole = here[r] + value
+                found.append((r, p, whole))
+                spans.append((at, end, len(r)))
+                better = np.flatnonzero(whole > best[end][r])  # of equal ways the one from the smallest start stays
+                to = r[better]
+                best[end][to] = whole[better]
+                way[end][to] = better + number
+                number += len(r)
+                on = np.flatnonzero(node >= 0)
+                alive, node = alive[on], node[on]
+        row, piece, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        start, node, count = (np.array(x) for x in zip(*spans, strict=True))
+        start, node = np.repeat(start, count), np.repeat(node, count)
+        # back along the best ways; mark the path's nodes
+        odd, on_path = np.zeros(rows, bool), np.zeros((width + 1, rows), bool)
+        steps: list[np.ndarray] = []
+        now, here = sizes.copy(), np.arange(rows)
+        while True:
+            here = here[now[here] > 0]
+            if not len(here):
+                break
+            on_path[now[here], here] = True
+            taken = way[now[here], here]
+            ids = np.full(rows, -1, np.int32)
+            ids[here] = piece[taken]
+            odd[here[piece[taken] < 0]] = True  # left to the whole search
+            steps.append(ids)
+            now[here] = start[taken]
+        flat = node * rows + row
+        other = np.flatnonzero(on_path.ravel()[flat])
+        other = other[way.ravel()[flat[other]] != other]
+        loss = np.full(rows, INFINITE)
+        np.minimum.at(loss, row[other], best.ravel()[flat[other]] - whole[other])
+        ids = np.stack(steps[::-1], 1)
+        data, cuts = ids[ids >= 0].tobytes(), np.concatenate([[0], 4 * (ids >= 0).sum(1).cumsum()]).tolist()
+        scores = best[sizes, np.arange(rows)].tolist()
+        return [None if o else (data[a:b], s, d) for o, a, b, s, d in zip(odd.tolist(), cuts[:-1], cuts[1:], scores, loss.tolist(), strict=True)]
+
+    def step(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The children of trie nodes by the characters given; -1 where there is none."""
+        key = (node << 21) | point
+        slot = (key * _SPREAD) >> self.shift & self.mask
+        k = self.keys[slot]
+        out = np.where(k == key, self.child[slot], -1)
+        open_ = np.flatnonzero((k != key) & (k >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            k = self.keys[slot[open_]]
+            out[open_] = np.where(k == key[open_], self.child[slot[open_]], -1)
+            open_ = open_[(k != key[open_]) & (k >= 0)]
+        return out
+
+    def _tables(self) -> None:
+        """The trie for step(): a hash table of (node, character), open addressing."""
+        edges, ends, todo = [], [-1], [(self.trie, 0)]  # no piece is empty
+        while todo:
+            node, k = todo.pop()
+            for ch, child in node[0].items():
+                ends.append(child[1][0] if child[1] is not None else -1)
+                edges.append((k << 21 | ord(ch), len(ends) - 1))
+                todo.append((child, len(ends) - 1))
+        bits = max(4, (4 * len(edges)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, 40 - bits if bits < 40 else 0
+        self.keys, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        taken = [-1] * (1 << bits)
+        for key, k in edges:
+            slot = ((key * int(_SPREAD)) & (1 << 64) - 1) >> self.shift & self.mask
+            while taken[slot] >= 0:
+                slot = slot + 1 & self.mask
+            taken[slot] = key
+            self.child[slot] = k
+        self.keys[:] = taken
+        self.ends, self.values = np.array([*ends, -1], np.int64), np.array(self.scores, float)
+
+    def loose(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best of a segment by the whole search, remembered."""
         if n != self.known_n:
-            self.known.clear()
+            self.several.clear()
             self.known_n = n
-        got = self.known.get(s)
+        got = self.several.get(s)
         if got is None:
-            got = self.n_best(s, n) if s else []
-            if s and len(s) <= LONG and len(self.known) < CACHE:  # a full cache stays: what it lacks is rare
-                self.known[s] = got
+            got = [(score, np.array(ids, np.int32).tobytes()) for score, ids in self.n_best(s, n)]
+            if len(self.several) >= CACHE // 4:
+                self.several.clear()
+            if len(s) <= LONG:
+                self.several[s] = got
         return got
 
-    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a text."""
-        if not text:
-            return [(0.0, [])]
-        if n != self.known_n:
-            self.segment("", n)
+    def encoded(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, bytes]]]:
+        """For each text the n best (score, ids as int32 bytes). Segments that aren't known are searched together."""
         known = self.known
-        parts = [known.get(s) or self.segment(s, n) for s in self.segments(normal(text))]
-        top = float(sum([p[0][0] for p in parts]))
-        loss = [(p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1]
-        loose = sorted(k for _, k in heapq.nsmallest(n - 1, loss))
-        # each state: (loss so far, choice for each loose segment)
-        states: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for k in loose:
-            p = parts[k]
-            states = heapq.nsmallest(n, ((d + p[0][0] - p[j][0], c + (j,)) for d, c in states for j in range(len(p))))
-        chosen = [p[0][1] for p in parts]
+        split = [self.segments(normal(t)) if t else [] for t in texts]
+        missing = known.unknown(set().union(*split))
+        known.update(zip(missing, self.search(list(missing)), strict=True))
         out = []
-        for d, choice in states:
-            for k, j in zip(loose, choice, strict=True):
-                chosen[k] = parts[k][j][1]
-            out.append((top - d, list(chain.from_iterable(chosen))))
+        for segments in split:
+            if not segments:
+                out.append([(0.0, b"")])
+                continue
+            ids, scores, losses = zip(*map(known.__getitem__, segments), strict=True)
+            top = float(sum(scores))
+            least = np.argsort(np.array(losses), kind="stable")[: n - 1].tolist()
+            loosest = sorted(k for k in least if losses[k] < INFINITE)
+            # each state: (loss so far, choice for each loose segment)
+            states: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+            several = [self.loose(segments[k], n) for k in loosest]
+            for p in several:
+                states = heapq.nsmallest(n, ((d + p[0][0] - p[j][0], c + (j,)) for d, c in states for j in range(len(p))))
+            chosen, rows = list(ids), []
+            for d, choice in states:
+                for k, p, j in zip(loosest, several, choice, strict=True):
+                    chosen[k] = p[j][1]
+                rows.append((top - d, b"".join(chosen)))
+            out.append(rows)
+        known.age()
         return out
 
-    def best(self, text: str, n: int = N_BEST) -> tuple[list[tuple[int, ...]], float, list[float]]:
-        """Ids of the best segmentation by segment, its score, and the scores of the n best, without building the others."""
-        if not text:
-            return [], 0.0, [0.0]
-        if n != self.known_n:
-            self.segment("", n)
-        known = self.known
-        parts = [known.get(s) or self.segment(s, n) for s in self.segments(normal(text))]
-        top = float(sum([p[0][0] for p in parts]))
-        loss = [p[0][0] - p[1][0] if len(p) > 1 else INFINITE for p in parts]
-        states = [0.0]
-        for k in heapq.nsmallest(n - 1, range(len(loss)), key=loss.__getitem__):
-            p = parts[k]
-            states = heapq.nsmallest(n, [d + p[0][0] - x[0] for d in states for x in p])
-        return [p[0][1] for p in parts], top, [top - d for d in states]
+    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of a text."""
+        return [(score, np.frombuffer(ids, np.int32).tolist()) for score, ids in self.encoded([text], n)[0]]
+
+    def best(self, text: str, n: int = N_BEST) -> tuple[list[int], float, list[float]]:
+        """Ids and score of the best segmentation, and the scores of the n best."""
+        got = self.encode(text, n)
+        return got[0][1], got[0][0], [score for score, _ in got]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the blank mark put before every text goes."""
-        spelled = self.spelled
-        if spelled.keys().isdisjoint(ids):
-            return "".join(map(self.names.__getitem__, ids)).replace(MARK, " ")[1:]
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in spelled:
-                raw.append(spelled[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.names[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return self.decoded(pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, pa.int32())))[0].as_py()[1:].decode("utf-8", "replace")
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, in UTF-8, with the blank put before every text that isn't empty."""
+        ends = pc.subtract(lists.offsets, lists.offsets[0])
+        texts = pc.binary_join(pa.ListArray.from_arrays(ends, self.spelling.take(lists.flatten())), b"")
+        return pc.replace_substring(texts, MARK.encode(), b" ")  # a mark can be spelled in bytes
 
 
 def normal(text: str) -> str:
@@ -269,21 +393,33 @@ def n_best_column(text: Column, path: str, n: int = N_BEST) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = lattice(path)
         for batch in batches:
-            scores, ids = array("d"), array("i")
-            ends, rows = array("i", [0]), array("i", [0])
-            for text in batch.to_pylist():
-                for score, one in model.encode(text or "", n):
-                    scores.append(score)
-                    ids.extend(one)
-                    ends.append(len(ids))
-                rows.append(len(scores))
-            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32)))
+            scores, ids, rows = array("d"), [], array("i", [0])
+            for group in grouped(batch):
+                for hypotheses in model.encoded(group, n):
+                    for score, one in hypotheses:
+                        scores.append(score)
+                        ids.append(one)
+                    rows.append(len(scores))
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(scores, np.float64)), lists], ["score", "ids"])
             yield pa.ListArray.from_arrays(pa.array(np.frombuffer(rows, np.int32)), pairs)
 
     return run(text)
 
 
+def grouped(texts: pa.Array) -> Iterator[list[str]]:
+    """Lists of about GROUP characters; null texts become empty."""
+    group, size = [], 0
+    for text in texts.to_pylist():
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 def checked_column(text: Column, hypotheses: Column, path: str) -> Column:
     """For each of the HYPOTHESES of a text its score, size, digest and whether it decodes to the text."""
 
@@ -291,19 +427,19 @@ def checked_column(text: Column, hypotheses: Column, path: str) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = lattice(path)
         for texts, found in batches:
-            ids = found.flatten().field("ids")
-            values, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), ids.offsets.to_numpy()
             sizes, digests, exact = [], [], []
-            at = 0
-            for text, n in zip(texts.to_pylist(), pc.list_value_length(found).to_pylist(), strict=True):
-                want = (text or "").replace(MARK, " ")
-                for k in range(at, at + n):
-                    one = values[ends[k] : ends[k + 1]]
-                    sizes.append(len(one))
-                    digests.append(hashlib.sha256(one.tobytes()).hexdigest())
-                    exact.append((model.decode(one.tolist()) if len(one) else "") == want)
-                at += n
-            columns = [found.flatten().field("score"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(exact, pa.bool_())]
+            # a few texts at a time: their n spelled-out forms are held at once
+            for at in range(0, len(texts), 64):
+                some = found.slice(at, 64)
+                ids = some.flatten().field("ids")
+                data, ends = memoryview(ids.values.to_numpy().astype(np.int32, copy=False)), ids.offsets.to_pylist()
+                sizes += pc.list_value_length(ids).to_pylist()
+                digests += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                want = pc.replace_substring(pc.fill_null(texts.slice(at, 64), ""), MARK, " ")
+                want = pc.if_else(pc.equal(want, ""), want, pc.binary_join_element_wise(" ", want, "")).cast(pa.binary())
+                exact.append(pc.equal(model.decoded(ids), want.take(pc.list_parent_indices(some))))
+            exact = pa.concat_arrays(exact) if exact else pa.array([], pa.bool_())
+            columns = [found.flatten().field("score"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), exact]
             rows = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(rows), pa.StructArray.from_arrays(columns, ["score", "n_pieces", "pieces_sha256", "round_trip"]))
 
