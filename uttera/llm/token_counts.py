@@ -1,9 +1,9 @@
 """Token counts: a two-tier lookup of pre-token lengths on the map side; no pre-token is ever shuffled.
 
-Tier 1 is a compact table, broadcast to every task, from frequent pre-tokens to their number of tokens. It
-holds the vocabulary's own entries that are whole pre-tokens (length 1) and the pre-tokens most seen in a bounded sample, TABLE
-entries at most. Tier 2 is a cache in each Python worker: misses are encoded by the library in batches and
-remembered, up to CACHE entries. The table and the caches only save work: a count is always what
+Tier 1 is a table, broadcast to every task, from frequent pre-tokens to their number of tokens. It
+holds the pre-tokens most seen in a bounded sample, TABLE
+entries at most. Tier 2 is a cache in each Python worker: misses of many texts are encoded by the library together and
+remembered, in two generations of CACHE entries. The table and the caches only save work: a count is always what
 the library gives for the whole text.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens. Special strings in a text are split off and
@@ -13,21 +13,25 @@ result; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from operator import not_
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import small_batches
+from uttera.llm.common import Recent, small_batches
 
-#: Entries of the broadcast table, and rows and characters a text of the sample that it is filled from.
+#: Entries of the broadcast table, and rows of the sample that it is filled from.
 TABLE, SAMPLE_ROWS = 60_000, 4_000
-#: Pre-tokens that a worker remembers; longer ones than LONG bytes aren't remembered.
-CACHE, LONG = 300_000, 64
+#: Pre-tokens in each of the two generations that a worker remembers; longer ones than LONG characters aren't remembered.
+CACHE, LONG = 150_000, 64
 #: Characters of texts whose misses are encoded together.
 GROUP = 1_000_000
 LIMIT = 1024
@@ -47,15 +51,27 @@ _SIMPLE = re.compile(rf"[\t-\r\x20-\x7e{_LATIN}×÷]*").fullmatch
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class TokenCounter:
     """Counts the tokens of texts for a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str, pattern: str, table: dict[str, int]):
+        # tasks run on all cores already; the library's own threads only add work
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = _load(path)
+        from tokenizers import pre_tokenizers
+
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        kinds = [json.loads(x.__getstate__()) if x is not None else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        #: Whether a pre-token goes to the library's model as its bytes in the byte-level alphabet, and nothing else happens to it.
+        self.byte_level = kinds[0] is None and kinds[1] == json.loads(plain.__getstate__()) | {"trim_offsets": (kinds[1] or {}).get("trim_offsets")}
         self.find = regex.compile(pattern).findall
         self.quick = pattern == BYTE_LEVEL
-        self.known = dict(table)
-        self.most = len(self.known) + CACHE
+        self.known = Recent(CACHE, table)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or "(?!)").split
 
@@ -70,26 +86,29 @@ class TokenCounter:
 
     def encoded(self, words: set[str]) -> dict[str, int]:
         """Numbers of tokens as the library gives them."""
+        if self.byte_level:
+            tokenize = self.tokenizer.model.tokenize
+            spelled = lambda w: w.replace(" ", "\u0120") if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_ALPHABET)
+            return {w: len(tokenize(spelled(w))) for w in words}
         words = list(words)
-        return {w: len(e.ids) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        return {w: len(e) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; misses of the whole list go to the library at once."""
-        out, waiting, missing, known = [], [], set(), self.known
-        for k, text in enumerate(texts):
+        known, out, rest = self.known, [], []
+        for text in texts:
             words, special = self.words(text) if text else ([], 0)
-            try:
-                out.append(sum(map(known.__getitem__, words)) + special)
-            except KeyError:
-                out.append(special)
-                waiting.append((k, words))
-                missing.update(w for w in words if w not in known)
-        if waiting:
-            new = self.encoded(missing)
-            for k, words in waiting:
-                out[k] += sum([known[w] if w in known else new[w] for w in words])
-            if len(known) < self.most:  # a full cache stays as it is: what it lacks is rare
-                known.update((w, n) for w, n in new.items() if len(w) <= LONG)
+            lengths = list(map(known.get, words, repeat(0)))  # no pre-token has length 0
+            out.append(sum(lengths) + special)
+            rest.append(list(compress(words, map(not_, lengths))))
+        missing = known.unknown(set(chain.from_iterable(rest)))
+        known.update(self.encoded(missing))
+        for k, words in enumerate(rest):
+            out[k] += sum(map(known.__getitem__, words))
+        for w in missing:
+            if len(w) > LONG:
+                del known[w]
+        known.age()
         return out
 
     def count(self, text: str) -> int:
