@@ -1,13 +1,15 @@
 """Packing: optimal length buckets by dynamic programming, token-budget batches inside each bucket.
 
-1. One grouped aggregation makes the global histogram of lengths. Lengths up to EXACT have a bin each;
-   above, bins widen by 1/256, so the histogram is bounded whatever the lengths.
-2. Dynamic programming over the histogram picks at most `buckets` upper bounds with the least padding.
+1. One grouped aggregation makes the global histogram of lengths. Lengths up to EXACT, the token budget, have a bin each;
+   above, bins widen by 1/256, so the histogram is bounded whatever the lengths. Each bin keeps its largest length.
+2. Dynamic programming over the histogram picks at most `buckets` upper bounds with the least padding. A bound
+   is the largest length of its bucket. Only cuts between lengths over EXACT are as coarse as the bins.
 3. A document goes to the smallest bound that holds it. A batch of a bucket holds as many documents as
    fit the token budget when each is padded to the bound, one at least.
 
 Batches are numbered over the whole bucket, yet no task sorts a whole bucket: documents are dealt to shards by a hash,
-numbered inside (bucket, shard), and shifted by the sizes of the shards before, a table of at most buckets * SHARDS rows.
+numbered inside (bucket, shard), and shifted by the sizes of the shards before, a table of at most buckets rows for each SHARD
+documents.
 
 Defined cases: a null length counts as 0, and documents of length 0 take a slot as of length 1. A document
 longer than the budget is a batch of its own. Ties and repeated rows are ordered by the columns of the
@@ -16,7 +18,6 @@ row and numbered apart. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import bisect
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from uttera.llm.common import free_name, written
 
-EXACT = 1 << 14
-BUCKETS, BUDGET, SHARDS = 16, 65_536, 256
+BUCKETS, BUDGET = 16, 65_536
+EXACT = BUDGET
+#: Shards at least, and documents for which there is one more.
+SHARDS, SHARD = 256, 1_000_000
 
 
 def bin_of(length: Column) -> Column:
@@ -73,11 +76,12 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKE
     return bounds[::-1]
 
 
-def histogram(docs: DataFrame, length: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and counts over all rows; their number is bounded by EXACT + 256 for each further power of two."""
-    rows = docs.groupBy(bin_of(length).alias("bin")).count().collect()
-    rows = sorted((r["bin"], r["count"]) for r in rows)
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+def histogram(docs: DataFrame, length: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, the largest length in each, and counts over all rows; at most EXACT bins + 256 for each further power of two."""
+    true = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(1))
+    rows = docs.groupBy(bin_of(length).alias("bin")).agg(F.max(true).alias("most"), F.count("*").alias("n")).collect()
+    rows = sorted((r["bin"], r["most"], r["n"]) for r in rows)
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
 
 
 def packed(docs: DataFrame, length: str, order: list[str], buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -85,17 +89,19 @@ def packed(docs: DataFrame, length: str, order: list[str], buckets: int = BUCKET
 
     `order` are columns that order rows inside a shard. Names that docs has already stay, the new ones get underscores.
     """
-    lengths, counts = histogram(docs, F.col(length))
+    bins, lengths, counts = histogram(docs, F.col(length))
     bounds = optimal_bounds(lengths, counts, buckets)
+    ends = dict(zip(lengths.tolist(), bins.tolist(), strict=True))  # of a bound the end of its bin
+    shards = max(SHARDS, int(counts.sum()) // SHARD)
     names = {c: free_name(docs, c) for c in ("bucket_length", "batch", "slot")}
     bin_, shard, rn = (free_name(docs, x) for x in ("_pk_bin", "_pk_shard", "_pk_rn"))
     bucket = F.lit(bounds[-1] if bounds else 1).cast("long")
     for b in reversed(bounds[:-1]):
-        bucket = F.when(F.col(bin_) <= b, F.lit(b).cast("long")).otherwise(bucket)
+        bucket = F.when(F.col(bin_) <= ends[b], F.lit(b).cast("long")).otherwise(bucket)
     rows = docs.withColumn(bin_, bin_of(F.col(length))).withColumn(names["bucket_length"], bucket).drop(bin_)
-    rows = rows.withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(SHARDS)).cast("int"))
+    rows = rows.withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
     key = [names["bucket_length"], shard]
-    sizes = rows.groupBy(*key).count().collect()  # at most buckets * SHARDS rows
+    sizes = rows.groupBy(*key).count().collect()  # at most buckets * shards rows
     before: dict[int, int] = {}
     starts = []
     for b, s, n in sorted(tuple(r) for r in sizes):
@@ -111,10 +117,6 @@ def packed(docs: DataFrame, length: str, order: list[str], buckets: int = BUCKET
     return rows.drop(shard, rn, start)
 
 
-def bound_for(bounds: list[int], length: int) -> int:
-    return bounds[min(bisect.bisect_left(bounds, length), len(bounds) - 1)]
-
-
 def packing_plan(docs: DataFrame, n_tokens: Column, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket_length, batch, slot; lengths are counted once and written, texts aren't shuffled."""
     light = written(docs.select("doc_id", n_tokens.alias("n_tokens")), "lengths")
