@@ -2,12 +2,15 @@
 
 * Base spans come from the four contract patterns and checks; they always stay.
 * Candidates are base spans and what wider patterns match: spelled-out addresses, numbers in telephone
-  layout without a plus sign, digit groups in card layout.
-* Labelers vote 1, 0 or abstain (2) on each candidate: the contract's check, the layout, a gazetteer (mail domains
-  and card number starts), words in the context before the span, and the characters beside it.
+  layout without a plus sign, digit groups in card layout, and secrets: long runs of letters and digits.
+* Labelers vote 1, 0 or abstain (2) on each candidate: the contract's check, the layout, a gazetteer (mail domains,
+  card number starts, names of secrets), the context before the span, and the characters beside it.
 * Votes are counted by kind and pattern over all documents (grouped aggregation; the number of patterns is
   bounded by the labelers). EM on these counts (Dawid-Skene, one coin for each labeler and class) gives each
-  pattern a posterior, base spans being known cases; a logistic regression on the votes is trained on the posteriors and decides on
+  pattern a posterior. What a check decides is known: a span that passes is personal data, one that fails isn't; these
+  anchor the reliabilities of the other labelers. Where there is no check, EM decides. Reliabilities are shrunk
+  halfway to BELIEF and priors to 1/2, so that labelers without known cases don't confirm each other.
+* A logistic regression on the votes is trained on the posteriors and decides on
   candidates that aren't base spans. One that overlaps a base span is never added.
 
 Defined cases: a null text counts as empty and has no spans. Rows are independent given the pattern counts; repeated rows repeat their
@@ -21,6 +24,7 @@ import bisect
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 
 from uttera.llm.common import small_batches, written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Kinds in their order in a list of spans; the last is only found by the method.
+KINDS = (*BASE_KINDS, "secret")
 LABELERS = ("check", "layout", "gazetteer", "context", "beside")
 ABSTAIN = 2
 #: Posterior from which a candidate that isn't a base span is added.
 THRESHOLD = 0.9
+#: What a labeler's reliability is before any vote, and how much that weighs against its votes.
+BELIEF, WEIGHT = 0.75, 1.0
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -54,6 +62,14 @@ _CONTEXT = {
     "card": re.compile(r"(?i)(?:card|visa|mastercard|payment|account)\W{0,3}(?:\w{1,12}\W{1,3}){0,3}$"),
     "phone": re.compile(r"(?i)(?:\btel\b|phone|call|mobile|fax|whatsapp)\W{0,3}(?:\w{1,12}\W{1,3}){0,3}$"),
 }
+# a run of key characters, from its first one on
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|credentials?|bearer|auth)\W{0,6}$")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_ASSIGNED = re.compile(r"[:=] ?[\"']?$")
+#: Lengths of keys and digests in hexadecimal.
+_BLANK = ("", " ", "\t", "\n", "\r")
+_HEX_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _TOP = frozenset("com org net edu gov io de fr es uk eu info".split())
 
 
@@ -102,6 +118,11 @@ def base_spans(text: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def _bits(span: str) -> float:
+    """Bits a character, by the characters' shares."""
+    return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
+
+
 def votes(text: str, start: int, end: int, kind: str, check: int) -> str:
     """One digit for each labeler: 1 for, 0 against, 2 abstains."""
     span, left = text[start:end], text[max(0, start - 40) : start]
@@ -116,6 +137,13 @@ def votes(text: str, start: int, end: int, kind: str, check: int) -> str:
     elif kind == "phone":
         layout = 1 if re.search(r"[0-9]{3}[-. )]+[0-9]{3,4}", span) else ABSTAIN
         gazetteer = ABSTAIN
+    elif kind == "secret":
+        hexadecimal = not span.strip("0123456789abcdefABCDEF") and len(span) in _HEX_LENGTHS
+        mixed = not (span.islower() or span.isupper()) and len(span) >= 20
+        layout = 1 if (hexadecimal or mixed) and _bits(span) >= 3 else 0
+        gazetteer = 1 if _NAME.search(left) else ABSTAIN
+        quoted = before in ("'", '"') and before == after
+        return f"{check}{layout}{gazetteer}{1 if _ASSIGNED.search(left) else 0}{1 if quoted or before in _BLANK and after in _BLANK else 0}"
     else:
         layout = 1 if not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 0
         gazetteer = 0 if span.startswith("0.") else ABSTAIN
@@ -134,6 +162,9 @@ def candidates(text: str | None) -> list[tuple[int, int, str, bool, str]]:
         wide += [(m.start(), m.end(), "email", ABSTAIN) for m in _SPELLED.finditer(text)]
     if _DIGITS.search(text):
         wide += [(m.start(), m.end(), "phone", ABSTAIN) for m in _LAYOUT.finditer(text)]
+    for m in _KEY.finditer(text):
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            wide.append((m.start(), m.end(), "secret", ABSTAIN))
     # base spans merged to disjoint intervals, searched by their starts
     starts, ends = [], []
     for s, e in sorted((s, e) for s, e, *_ in out):
@@ -169,44 +200,46 @@ def found_column(text: Column) -> Column:
                 rows.append(
                     (
                         joined(base),
-                        *[sum(x[2] == k for x in base) for k in KINDS],
+                        *[sum(x[2] == k for x in base) for k in BASE_KINDS],
                         [{"s": s, "e": e, "kind": k, "votes": v} for s, e, k, is_base, v in got if not is_base],
                         [f"{k}/{v}" for _, _, k, _, v in got],
                     )
                 )
-            yield pd.DataFrame(rows, columns=["base", *[f"n_{k}" for k in KINDS], "wide", "seen"])
+            yield pd.DataFrame(rows, columns=["base", *[f"n_{k}" for k in BASE_KINDS], "wide", "seen"])
 
     return find(text)
 
 
+def _reliability(weight: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Share of its votes that each labeler casts right, shrunk to BELIEF; never 0 or 1."""
+    n = weight.sum(0)
+    return ((weight * right).sum(0) + (WEIGHT * n + 1) * BELIEF) / (n + WEIGHT * n + 1)
+
+
 def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tuple[str, str], float]:
-    """EM over vote patterns: the posterior that a span with (kind, votes) is personal data."""
-    out = {}
-    for kind in KINDS:
-        rows = [(v, n) for (k, v), n in sorted(counts.items()) if k == kind]
-        if not rows:
-            continue
-        v = np.array([[int(c) for c in x] for x, _ in rows])
-        n = np.array([c for _, c in rows], float)
-        cast, sure, open_ = v != ABSTAIN, v[:, 0] == 1, v[:, 0] != 1
-        post = np.where(cast.any(1), (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1), 0.5)
-        for _ in range(rounds):
-            # base spans are known to be personal data; the prior is that of the other candidates
-            post = np.where(sure, 1.0, post)
-            prior = float(np.clip((post * n)[open_].sum() / n[open_].sum(), 0.02, 0.5)) if open_.any() else 0.5
-            # each labeler is right more often than not; smoothing by two votes keeps rare ones near that
-            hit = ((n * post)[:, None] * (cast & (v == 1))).sum(0) + 1.6
-            one = hit / (((n * post)[:, None] * cast).sum(0) + 2)
-            hit = ((n * (1 - post))[:, None] * (cast & (v == 0))).sum(0) + 1.6
-            zero = hit / (((n * (1 - post))[:, None] * cast).sum(0) + 2)
-            one, zero = np.clip(one, 0.55, 0.99), np.clip(zero, 0.55, 0.99)
-            # personal data rarely fails its own check digits, and a form without a check needs its context
-            one[0], one[3] = max(one[0], 0.98), max(one[3], 0.8)
-            yes = np.where(cast, np.where(v == 1, np.log(one), np.log(1 - one)), 0).sum(1) + math.log(prior)
-            no = np.where(cast, np.where(v == 0, np.log(zero), np.log(1 - zero)), 0).sum(1) + math.log(1 - prior)
-            post = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
-        out |= {(kind, x): float(p) for (x, _), p in zip(rows, post, strict=True)}
-    return out
+    """EM over vote patterns: the posterior that a span with (kind, votes) is personal data.
+
+    A labeler's reliabilities hold for all kinds, so that a kind without checks learns from those that have some; each kind has its own prior.
+    """
+    keys = sorted(counts)
+    if not keys:
+        return {}
+    kind = np.array([KINDS.index(k) for k, _ in keys])
+    v = np.array([[int(c) for c in x] for _, x in keys])
+    n = np.array([counts[k] for k in keys], float)
+    cast, passed, failed = v != ABSTAIN, v[:, 0] == 1, v[:, 0] == 0
+    open_ = ~(passed | failed)
+    post = (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1)
+    for _ in range(rounds):
+        post = np.where(passed, 1.0, np.where(failed, 0.0, post))
+        # the prior is that of the kind's candidates without a check, shrunk halfway to 1/2
+        good, all_ = (np.bincount(kind, open_ * x, len(KINDS)) for x in (n * post, n))
+        prior = ((good + (WEIGHT * all_ + 1) / 2) / (all_ + WEIGHT * all_ + 1))[kind]
+        one, zero = (_reliability((n * p)[:, None] * cast, v == k) for k, p in ((1, post), (0, 1 - post)))
+        yes = np.where(cast, np.where(v == 1, np.log(one), np.log(1 - one)), 0).sum(1) + np.log(prior)
+        no = np.where(cast, np.where(v == 0, np.log(zero), np.log(1 - zero)), 0).sum(1) + np.log(1 - prior)
+        post = np.where(open_, 1 / (1 + np.exp(np.clip(no - yes, -50, 50))), post)
+    return {k: float(p) for k, p in zip(keys, post, strict=True)}
 
 
 def span_features(kind: str, v: str) -> np.ndarray:
@@ -240,7 +273,7 @@ def accepted(counts: dict[tuple[str, str], int], threshold: float = THRESHOLD) -
 
 
 def pattern_counts(found: DataFrame, column: str) -> dict[tuple[str, str], int]:
-    """Counts of kind/votes over all documents: at most 4 * 3^5 rows reach the driver."""
+    """Counts of kind/votes over all documents: at most 5 * 3^5 rows reach the driver."""
     rows = found.select(F.explode(F.col(column)["seen"]).alias("p")).groupBy("p").count().collect()
     return {tuple(r["p"].split("/")): r["count"] for r in rows}
 
@@ -265,15 +298,17 @@ def all_spans(found: Column, take: list[str]) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans of each row of docs (doc_id, text)."""
+    """doc_id, counts of base spans, base_sha256, spans and the number of added ones of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     found = written(docs.select("doc_id", found_column(F.col("text")).alias("f")), "pii")
     take = accepted(pattern_counts(found, "f"))
-    return found.select(
-        "doc_id", *[F.col("f")[f"n_{k}"].alias(f"n_{k}") for k in KINDS],
+    rows = found.select(
+        "doc_id", *[F.col("f")[f"n_{k}"].alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.col("f")["base"].cast("binary"), 256).alias("base_sha256"),
         F.when(F.size(F.col("f")["wide"]) == 0, F.col("f")["base"]).otherwise(all_spans(F.col("f"), take)).alias("spans"),
     )
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ",")))
+    return rows.withColumn("n_added", (n_spans - sum(F.col(f"n_{k}") for k in BASE_KINDS)).cast("long"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
