@@ -3,14 +3,17 @@
 A package is a ZIP file with two stored members: `archive/data.warc.gz`, one gzip member a record, and
 `indexes/index.jsonl`, a line with offset and length for each record. The reader parses the end record, the
 ZIP64 locator and end record where there is one, the central directory with its ZIP64 fields, and each member's local header; it
-then reads byte ranges of the package and nothing else.
+then reads byte ranges of the package and nothing else. Packages of others are read alike: every archive under `archive/`,
+located by the index lines (JSON, also behind a key and a time as in CDXJ, also gzipped) of any file under `indexes/` that
+name a file, an offset and a length; an archive that no index names is read whole, record by record.
 
 Paths are opened through pyarrow's file systems, so executors read and write the shared folder of any store that these know.
 
 Defined cases: a null html is an empty payload; a null url becomes urn:none; control characters in a url are
 percent-encoded. Among records of one payload of at least MIN_REVISIT bytes, those with the smallest page id are
 responses (several, if rows repeat that id), the others revisit it; a record without an id is a response only where
-no id is known. An empty table writes nothing and reads nothing. Extra columns are ignored.
+no id is known. An empty table writes nothing and reads nothing. Extra columns are ignored. Read back, records that are
+neither responses, revisits nor resources are left out; a record whose id names no page has a null page_id; a compressed member raises.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from uttera.llm.common import salted_lookup, shared_path, small_batches, written
 MIN_REVISIT = 100
 #: Compressed bytes of records in a package, and of one range read.
 PACKAGE, RANGE = 48 << 20, 4 << 20
+#: Tasks of a stage, at most; each then takes several packages or ranges, one after the other.
+TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 # ---- ZIP --------------------------------------------------------------------------------------------------
@@ -126,15 +131,38 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     warc = fields(head)
     block = rest[: int(warc["content-length"])]
+    if warc.get("warc-type") == "resource":
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc, fields(http), payload
 
 
-def gunzip_members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
+def split_records(data: bytes, lengths: list[int] | None) -> Iterator[bytes]:
+    """Records of a range: by the index's lengths, or one after the other where there is no index."""
+    if lengths is not None:
+        at = 0
+        for n in lengths:
+            part = data[at : at + n]
+            yield part if part[:5] == b"WARC/" else zlib.decompress(part, 31)
+            at += n
+        return
+    at = 0
+    while at < len(data):
+        if data[at : at + 5] == b"WARC/":
+            head = data.index(b"\r\n\r\n", at) + 4
+            length = re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", data[at:head])
+            end = head + int(length[1]) + 4
+            yield data[at:end]
+            at = end
+            continue
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:  # fed in pieces, so that what is left over is never copied whole
+            piece = data[at : at + 65_536]
+            if not piece:
+                raise ValueError("a record ends early")
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -152,7 +180,7 @@ def _store(uri: str):
 
 
 def write_package(uri: str, data: list[bytes], index: list[dict]) -> int:
-    """A package written beside its place and moved there: a repeated task leaves the same file."""
+    """A package written beside its place and moved there, so that no reader sees a part of one."""
     body = io.BytesIO()
     with zipfile.ZipFile(body, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         for name, parts in (("archive/data.warc.gz", data), ("indexes/index.jsonl", [(json.dumps(x) + "\n").encode() for x in index])):
@@ -170,14 +198,15 @@ def write_package(uri: str, data: list[bytes], index: list[dict]) -> int:
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        # the name carries the attempt: a repeated task writes files of its own, and only a finished one's are listed
+        task, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         data: list[bytes] = []
         index: list[dict] = []
         at = 0
 
         def close() -> pa.RecordBatch:
             nonlocal data, index, at, number
-            uri = f"{folder}/{task:06d}-{number:04d}.wacz"
+            uri = f"{folder}/{task:06d}-{attempt}-{number:04d}.wacz"
             size = write_package(uri, data, index)
             out = pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size], pa.int64()), pa.array([len(index)], pa.int64())], ["path", "size", "records"])
             data, index, at, number = [], [], 0, number + 1
@@ -211,57 +240,101 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return written(rows.sortWithinPartitions("page_id").mapInArrow(_writer(folder), "path string, size long, records long"), "packages")
 
 
+def index_lines(data: bytes) -> Iterator[dict]:
+    """The JSON objects of an index's lines that say where a record is."""
+    if data[:2] == b"\x1f\x8b":
+        data = b"".join(split_records(data, None))
+    for line in data.splitlines():
+        at = line.find(b"{")
+        if at >= 0:
+            x = json.loads(line[at:])
+            if "offset" in x and "length" in x:
+                yield x
+
+
+def ranges_of(read: Callable[[int, int], bytes], size: int) -> list[tuple[int, int, list[int] | None]]:
+    """(start, length, lengths of the records or None) of the byte ranges of a package, from directory and index alone."""
+    found = members(read, size)
+    archives = {m.name.rpartition("/")[2]: m for m in found if m.name.startswith("archive/") and m.size}
+    at = {name: data_offset(read, m) for name, m in archives.items()}
+    records: dict[str, list[tuple[int, int]]] = {name: [] for name in archives}
+    for m in found:
+        if m.name.startswith("indexes/") and m.size:
+            for x in index_lines(read(data_offset(read, m), m.size)):
+                name = x.get("filename", "").rpartition("/")[2] or (next(iter(archives)) if len(archives) == 1 else "")
+                if name in records:
+                    records[name].append((int(x["offset"]), int(x["length"])))
+    out: list[tuple[int, int, list[int] | None]] = []
+    for name, m in archives.items():
+        if not records[name]:
+            out.append((at[name], m.size, None))
+        last = -1  # where the open range ends
+        for offset, length in sorted(set(records[name])):
+            if offset == last and out[-1][1] + length <= RANGE:
+                out[-1] = (out[-1][0], out[-1][1] + length, [*out[-1][2], length])
+            else:
+                out.append((at[name] + offset, length, [length]))
+            last = offset + length
+    return out
+
+
+_RANGES = "path string, start long, length long, lengths array<long>"
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packages to byte ranges of whole records, from directory and index alone."""
     for batch in batches:
         for uri, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
             fs, path = _store(uri)
-            out: list[tuple[str, int, int]] = []
             with fs.open_input_file(path) as f:
-                read = lambda at, n, f=f: f.read_at(n, at)
-                by = {m.name: m for m in members(read, size)}
-                index, data = by["indexes/index.jsonl"], by["archive/data.warc.gz"]
-                start = data_offset(read, data)
-                for line in read(data_offset(read, index), index.size).splitlines():
-                    x = json.loads(line)
-                    if out and out[-1][2] + x["length"] <= RANGE:
-                        out[-1] = (uri, out[-1][1], out[-1][2] + x["length"])
-                    else:
-                        out.append((uri, start + x["offset"], x["length"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "start", "length"])
+                out = [(uri, *r) for r in ranges_of(lambda at, n, f=f: f.read_at(n, at), size)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["path", "start", "length", "lengths"])
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
 def _id(urn: str) -> int | None:
-    value = urn.strip("<>").rpartition(":")[2]
-    return None if value == "None" else int(value)
+    value = urn.strip("<>").removeprefix("urn:page:")
+    return int(value) if re.fullmatch("-?[0-9]+", value) else None
 
 
 def _reader(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, start, length, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, path = _store(uri)
                 with fs.open_input_file(path) as f:
                     data = f.read_at(length, start)
                 out = []
-                for raw in gunzip_members(data):
+                for raw in split_records(data, lengths):
                     warc, http, payload = parse_record(raw)
-                    digest, size = warc["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
-                    if warc["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"{uri}: the payload of {warc['warc-record-id']} doesn't have its digest")
+                    kind = warc["warc-type"]
+                    if kind not in ("response", "revisit", "resource"):
+                        continue
+                    algorithm, _, digest = warc.get("warc-payload-digest", "").partition(":")
+                    size = int(http["content-length"]) if kind == "revisit" and "content-length" in http else len(payload)
+                    if kind != "revisit":
+                        own = hashlib.sha256(payload).hexdigest()
+                        if algorithm == "sha256" and digest != own:
+                            raise ValueError(f"{uri}: the payload of {warc['warc-record-id']} doesn't have its digest")
+                        digest = own
                     refers = _id(warc["warc-refers-to"]) if "warc-refers-to" in warc else None
-                    out.append((_id(warc["warc-record-id"]), warc["warc-target-uri"], size, digest, warc["warc-type"], refers, payload if payloads else None))
+                    out.append((_id(warc["warc-record-id"]), warc.get("warc-target-uri"), size, digest, kind, refers, payload if payloads else None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x.type) for k, x in enumerate(_READ)], schema=_READ)
 
     return run
 
 
 def read(packages: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of packages (path, size): ranges are found from the index, dealt out and read. Digests are verified."""
-    ranges = packages.select("path", "size").repartition("path").mapInArrow(_ranges, "path string, start long, length long")
-    return ranges.repartition("path", "start").mapInArrow(
+    """Records of packages (path, size): ranges are found from the index, dealt out and read. Digests are verified.
+
+    Rows are small here and the work behind them is large, so they are dealt to numbers of partitions that adaptive execution
+    leaves alone: a package each to be listed, a range each to be read.
+    """
+    total = packages.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+    listed, ranges = max(1, total["n"]), max(1, -(-(total["b"] or 0) // RANGE))
+    rows = packages.select("path", "size").repartition(min(listed, TASKS), "path").mapInArrow(_ranges, _RANGES)
+    return rows.repartition(min(ranges, TASKS), "path", "start").mapInArrow(
         _reader(payloads), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
