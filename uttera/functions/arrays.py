@@ -16,12 +16,13 @@ def total(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    """Null for an empty array."""
+    return F.try_divide(total(x), F.size(x))
 
 
 def std(x: Column) -> Column:
     """Population standard deviation."""
-    return let(mean(x), lambda m: F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x)))
+    return let(mean(x), lambda m: F.sqrt(F.try_divide(total(F.transform(x, lambda v: (v - m) * (v - m))), F.size(x))))
 
 
 def cmvn(x: Column, m: Column, s: Column, only_mean: bool = False) -> Column:
@@ -39,35 +40,72 @@ def without_edges(x: Column, skip: int) -> Column:
 
 
 def rms_normalised(x: Column, target: float = 0.1, eps: float = 1e-8) -> Column:
-    """Scaled to a root mean square of `target`; then, where the peak is over 1, scaled to a peak of 1."""
-    gain = target / (F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x)) + eps)
+    """Scaled to a root mean square of `target`; then, where the peak is over 1, scaled to a peak of 1.
+
+    eps is added to the mean square, so a nearly silent signal stays nearly silent. An empty array stays empty.
+    """
+    gain = F.try_divide(F.lit(target), F.sqrt(F.try_divide(total(F.transform(x, lambda v: v * v)), F.size(x)) + eps))
     scaled = let(gain, lambda g: F.transform(x, lambda v: v * g))
     limited = lambda y: let(F.array_max(F.transform(y, lambda v: F.abs(v))), lambda peak: F.when(peak > 1, F.transform(y, lambda v: v / peak)).otherwise(y))
-    return let(scaled, limited)
+    return F.when(F.size(x) == 0, x).otherwise(let(scaled, limited))
+
 
+def trimmed(x: Column, top_db: float = 30.0, frame: int = 1, hop: int = 1) -> Column:
+    """Without what comes before the first and after the last loud frame.
 
-def trimmed(x: Column, top_db: float = 30.0) -> Column:
-    """Without leading and trailing values that are top_db below the peak."""
-    floor = F.array_max(F.transform(x, lambda v: F.abs(v))) * (10 ** (-top_db / 20))
-    loud = let(floor, lambda low: F.filter(F.transform(x, lambda v, i: F.when(F.abs(v) > low, i)), lambda i: i.isNotNull()))
-    cut = lambda at: F.slice(x, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1)
-    return let(loud, lambda at: F.when(F.size(at) == 0, x).otherwise(cut(at)))
+    Frames of `frame` values, centred on every hop-th value and filled with zeros at both ends, are loud where their
+    mean square is less than top_db under the largest. With the defaults each value is a frame. A silent signal stays whole.
+    """
+    n, half = F.size(x), frame // 2
+    part = lambda at: F.slice(x, F.greatest(F.lit(1), at - half + 1), F.least(n, at - half + frame) - F.greatest(F.lit(0), at - half))
+    power = F.transform(F.sequence(F.lit(0), F.floor((n - frame % 2) / hop).cast("int")), lambda k: total(F.transform(part(k * hop), lambda v: v * v)) / frame)
+    floor = lambda p: F.greatest(F.lit(1e-10), F.array_max(p)) * (10 ** (-top_db / 10))
+    loud = let(power, lambda p: let(floor(p), lambda low: F.filter(F.transform(p, lambda v, k: F.when(F.greatest(F.lit(1e-10), v) > low, k)), lambda k: k.isNotNull())))
+    cut = lambda at: F.slice(x, F.array_min(at) * hop + 1, F.least(n, (F.array_max(at) + 1) * hop) - F.array_min(at) * hop)
+    return F.when(n == 0, x).otherwise(let(loud, cut))
 
 
 def segments(x: Column, spans: Column, rate: int) -> Column:
-    """The parts of x inside (start, end) seconds, clamped, joined; x where nothing is left."""
+    """The parts of x inside (start, end) seconds, rounded to samples (ties to even), clamped, joined; x where nothing is left."""
     n = F.size(x)
-    at = lambda t: F.greatest(F.lit(0), F.least(n, (t * rate).cast("int")))
+    at = lambda t: F.greatest(F.lit(0), F.least(n, F.bround(t * rate).cast("int")))
     parts = F.flatten(F.transform(spans, lambda s: F.slice(x, at(s["start"]) + 1, F.greatest(F.lit(0), at(s["end"]) - at(s["start"])))))
     return F.when(F.size(parts) == 0, x).otherwise(parts)
 
 
-def delta(x: Column, width: int = 9) -> Column:
-    """Regression slope over `width` frames for the frames that have a whole window."""
+#: Preprocessing modes: whether silence is trimmed, speech segments are kept, the level is normalised.
+PREPROCESSING = {"raw": (False, False, False), "trim": (True, False, False), "trim_rms": (True, False, True), "vad": (False, True, False), "vad_rms": (False, True, True)}
+
+
+def preprocessed(x: Column, mode: str, spans: Column | None = None, rate: int = 16_000, frame: int = 2048, hop: int = 512) -> Column:
+    """x by a mode of PREPROCESSING; an unknown one raises. vad needs the speech spans (start, end in seconds) that a model gave.
+
+    A signal of which nothing would be left stays whole.
+    """
+    if mode not in PREPROCESSING:
+        raise ValueError(f"unknown preprocessing {mode}; known are {sorted(PREPROCESSING)}")
+    trim, vad, rms = PREPROCESSING[mode]
+    if vad and spans is None:
+        raise ValueError(f"{mode} needs speech spans")
+    y = trimmed(x, 30.0, frame, hop) if trim else segments(x, spans, rate) if vad else x
+    y = let(y, lambda v: F.when(F.size(v) == 0, x).otherwise(v)) if trim or vad else y
+    return let(y, lambda v: rms_normalised(v)) if rms else y
+
+
+def delta(x: Column, width: int = 9, order: int = 1, edges: bool = False) -> Column:
+    """Derivative of the regression line (order 1) or parabola (order 2) over `width` frames, for the frames with a whole window.
+
+    With `edges` the first and last windows' values also stand for the frames before and after. Shorter sequences give an empty array.
+    """
     h = width // 2
-    norm = 2.0 * sum(k * k for k in range(1, h + 1))
-    slope = lambda i: sum(((F.get(x, i + k) - F.get(x, i - k)) * float(k) for k in range(1, h + 1)), F.lit(0.0)) / norm
-    return F.transform(F.sequence(F.lit(h), F.size(x) - 1 - h), slope)
+    s0, s2, s4 = width, 2 * sum(k**2 for k in range(1, h + 1)), 2 * sum(k**4 for k in range(1, h + 1))
+    weight = {1: lambda k: k / s2, 2: lambda k: 2 * (s0 * k * k - s2) / (s0 * s4 - s2 * s2)}[order]
+    value = lambda i: sum((F.get(x, i + k) * float(weight(k)) for k in range(-h, h + 1) if weight(k)), F.lit(0.0))
+    inner = F.when(F.size(x) >= width, F.transform(F.sequence(F.lit(h), F.greatest(F.lit(h), F.size(x) - 1 - h)), value)).otherwise(F.array().cast("array<double>"))
+    if not edges:
+        return inner
+    ends = lambda y, at: F.array_repeat(F.element_at(y, at), h)
+    return let(inner, lambda y: F.when(F.size(y) == 0, y).otherwise(F.concat(ends(y, 1), y, ends(y, -1))))
 
 
 def chunks(x: Column, size: int, hop: int, padded: bool, overlapping_stride: bool = False) -> Column:
@@ -120,7 +158,7 @@ def _added(a: Column, x: Column, w: float) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: x * y))
     size = lambda v: F.sqrt(total(F.transform(v, lambda x: x * x)))
-    return dot / (size(a) * size(b))
+    return F.try_divide(dot, size(a) * size(b))  # null where one is zero
 
 
 def gaussian_log_density(x: Column, means: list[float], variances: list[float]) -> Column:

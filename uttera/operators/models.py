@@ -136,3 +136,17 @@ def fourier_features(x, dims: int, n: int = 64, gamma: float = 1.0, seed: int =
     w, b = rng.normal(0, math.sqrt(2 * gamma), (n, dims)), rng.uniform(0, 2 * math.pi, n)
     dot = lambda row: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
     return F.array(*[F.cos(dot(w[i]) + float(b[i])) * math.sqrt(2 / n) for i in range(n)])
+
+
+def standardised(df, vector: str, out: str):
+    """df with the vectors' dimensions scaled to mean 0 and population standard deviation 1; a constant dimension becomes 0."""
+    from pyspark.ml.stat import Summarizer
+
+    if df.isEmpty():
+        return df.withColumn(out, F.col(vector))
+    v = array_to_vector(F.col(vector))
+    row = df.agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).select("s.*").first()
+    n = row["count"]
+    std = np.sqrt(np.maximum(0, row["variance"].toArray() * (n - 1) / n))
+    pairs = [F.struct(F.lit(float(m)).alias("m"), F.lit(float(1 / s) if s > 0 else 0.0).alias("w")) for m, s in zip(row["mean"].toArray(), std, strict=True)]
+    return df.withColumn(out, F.zip_with(F.col(vector), F.array(*pairs), lambda x, p: (x - p["m"]) * p["w"]))

@@ -13,7 +13,7 @@ from uttera.functions import text as T
 from uttera.operators import dsp, evaluation, intervals, models, sampling
 from uttera.sources import readers
 from uttera.sources.sinks import submission
-from uttera.sources.tables import FRAMES_SQL, PAIRS_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
+from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -470,8 +470,8 @@ def edge_skip(spark, sf_dir):
     return y.select("fileid", F.size("y").cast("long").alias("n"), r6(A.total(F.col("y"))).alias("total"))
 
 
-@query(f"""WITH {FRAMES_SQL}, q AS (SELECT fileid, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS rms FROM fr),
-s AS (SELECT fileid, list_transform(x, lambda v: v * (0.9 / (rms + 1e-8))) AS y FROM q), p AS (SELECT fileid, y, list_max(list_transform(y, lambda v: abs(v))) AS peak FROM s)
+@query(f"""WITH {FRAMES_SQL}, q AS (SELECT fileid, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-8) AS rms FROM fr),
+s AS (SELECT fileid, list_transform(x, lambda v: v * (0.9 / rms)) AS y FROM q), p AS (SELECT fileid, y, list_max(list_transform(y, lambda v: abs(v))) AS peak FROM s)
 SELECT fileid, round(CASE WHEN peak > 1 THEN 1 ELSE peak END, 6) AS peak, round(CASE WHEN peak > 1 THEN y[1] / peak ELSE y[1] END, 6) AS first FROM p""")
 def rms_normalize(spark, sf_dir):
     y = frames(spark, sf_dir).select("fileid", A.rms_normalised(F.col("x"), 0.9).alias("y"))
@@ -576,31 +576,26 @@ def interval_phone_word(spark, sf_dir):
 
 
 _NORM = lambda t: f"trim(regexp_replace(translate(lower({t}), '" + T.PUNCTUATION.replace("'", "''") + "', ''), '\\s+', ' ', 'g'))"
-_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.NUMBERS.items()) + "}"
 _TOK = lambda t: f"CASE WHEN {_NORM(t)} = '' THEN [] ELSE string_split({_NORM(t)}, ' ') END"
-_WER = f"""WITH {PAIRS_SQL}, tk AS (SELECT doc_id, lang, {_TOK("ref")} AS r0, {_TOK("hyp")} AS h0 FROM pairs),
-tn AS (SELECT doc_id, lang, list_transform(r0, lambda w: coalesce({_MAP}[w], w)) AS r, list_transform(h0, lambda w: coalesce({_MAP}[w], w)) AS h FROM tk),
-wer AS (SELECT doc_id, lang, len(r) AS n_ref, CAST(list_reduce(r, lambda prev, rw: list_reduce(range(1, len(h) + 1), lambda row, j:
-  list_append(row, least(row[j] + 1, prev[j + 1] + 1, prev[j] + CASE WHEN h[j] = rw THEN 0 ELSE 1 END)), [prev[1] + 1]), range(0, len(h) + 1))[len(h) + 1] AS BIGINT) AS edits FROM tn)"""
-
 
+# no SQL says the distance of whole texts in reasonable time; tests hold these two against brute force
 def _wer(spark, sf_dir):
     p = text_pairs(spark, sf_dir).withColumn("r", T.number_normalised(T.tokens(F.col("ref")))).withColumn("h", T.number_normalised(T.tokens(F.col("hyp"))))
     return p.select("doc_id", "lang", F.size("r").cast("long").alias("n_ref"), dsp.edit_distance_column(F.col("r"), F.col("h")).cast("long").alias("edits"))
 
 
-@query(_WER + " SELECT doc_id, n_ref, edits FROM wer")
+@query()
 def wer_pairs(spark, sf_dir):
     return _wer(spark, sf_dir).select("doc_id", "n_ref", "edits")
 
 
-@query(_WER + " SELECT coalesce(lang, 'all') AS lang, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n_ref) AS BIGINT) AS n_ref, round(sum(edits) / sum(n_ref), 6) AS wer FROM wer GROUP BY ROLLUP (lang)")
+@query()
 def wer_corpus(spark, sf_dir):
     g = _wer(spark, sf_dir).rollup("lang").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"))
-    return g.select(F.coalesce("lang", F.lit("all")).alias("lang"), "edits", "n_ref", r6(F.col("edits") / F.col("n_ref")).alias("wer"))
+    return g.select(F.coalesce("lang", F.lit("all")).alias("lang"), "edits", "n_ref", r6(F.try_divide("edits", "n_ref")).alias("wer"))
 
 
-_QA = f"""WITH {TURNS_SQL}, q AS (SELECT conv_id, turn, {_TOK("answer")} AS a FROM turns), g AS (SELECT conv_id, turn, a[1:12] AS g, CASE WHEN turn % 3 = 0 THEN a[1:12] ELSE a[4:13] END AS p FROM q),
+_QA = f"""WITH {TURNS_SQL}, q AS (SELECT conv_id, turn, {_TOK("answer")} AS a FROM turns), g AS (SELECT conv_id, turn, a AS g, CASE WHEN turn % 3 = 0 THEN a ELSE a[4:] END AS p FROM q),
 sc AS (SELECT conv_id, turn, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CASE WHEN contains(array_to_string(p, ' '), array_to_string(g[4:6], ' ')) THEN 1 ELSE 0 END AS em_contains,
   CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1.0 WHEN len(g) = 0 OR len(p) = 0 THEN 0.0 ELSE
    2.0 * coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))), 0) / (len(g) + len(p)) END AS f1 FROM g)"""
@@ -653,9 +648,9 @@ def recent_history(spark, sf_dir):
 
 
 @query(_HIST.format(n="UNBOUNDED") + f""", f AS (SELECT conv_id, arg_min(text, turn) AS passage FROM conversations GROUP BY 1)
-SELECT conv_id, turn, md5('Passage:' || chr(10) || substr(passage, 1, 1200) || chr(10) || chr(10) ||
-  CASE WHEN len(h) > 0 THEN 'Conversation so far:' || chr(10) || array_to_string(list_transform(h, lambda x: 'Q: ' || x.q || chr(10) || 'A: ' || x.a), chr(10)) || chr(10) || chr(10) ELSE '' END ||
-  'Question: ' || question) AS user_md5, 3 AS n_messages, length(answer) AS answer_chars FROM h JOIN f USING (conv_id)""")
+SELECT conv_id, turn, md5('Passage:' || chr(10) || substr(passage, 1, 1200) ||
+  CASE WHEN len(h) > 0 THEN chr(10) || chr(10) || 'Conversation so far:' || chr(10) || array_to_string(list_transform(h, lambda x: 'Q: ' || x.q || chr(10) || 'A: ' || x.a), chr(10)) ELSE '' END ||
+  chr(10) || chr(10) || 'Current question: ' || question || chr(10) || 'Answer:') AS user_md5, 3 AS n_messages, length(answer) AS answer_chars FROM h JOIN f USING (conv_id)""")
 def training_examples(spark, sf_dir):
     first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("passage"))
     rows = _history(spark, sf_dir).join(first, "conv_id")
@@ -664,6 +659,118 @@ def training_examples(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5(F.col("m")[1]["content"]).alias("user_md5"), F.size("m").alias("n_messages"), F.char_length(F.col("m")[2]["content"]).cast("long").alias("answer_chars"))
 
 
+# ---- filters, joins and features beside the main queries ----------------------------------------------------
+
+
+@query(f"""WITH {UTT_SQL}, g AS (SELECT fileid, age, CASE WHEN fileid % 17 = 0 THEN 'U' WHEN fileid % 19 = 0 THEN NULL ELSE gender END AS gender FROM man)
+SELECT CASE gender WHEN 'F' THEN 0 ELSE 1 END AS target, count(*) AS n, round(avg(age), 6) AS mean_age FROM g WHERE gender IN ('F', 'M') GROUP BY 1""")
+def masked_gender(spark, sf_dir):
+    """Rows of unknown gender take no part in a classifier's targets."""
+    gender = F.when(F.col("fileid") % 17 == 0, "U").when(F.col("fileid") % 19 == 0, None).otherwise(F.col("gender"))
+    g = utterances(spark, sf_dir).withColumn("target", S.gender_index(gender)).where("target >= 0")
+    return g.groupBy("target").agg(F.count("*").alias("n"), r6(F.avg("age")).alias("mean_age"))
+
+
+_CELLS = """cells AS (SELECT event_id AS run_id, CASE user_id % 3 WHEN 0 THEN 'late_fusion_' WHEN 1 THEN 'concatenation_' ELSE 'single_' END || event_type AS name,
+  CASE event_id % 3 WHEN 0 THEN [256] WHEN 1 THEN [256, 128] ELSE [512, 256] END AS hidden, CASE WHEN event_id % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 13 = 0 THEN NULL ELSE value END AS mae FROM events)"""
+
+
+def _cells(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    family = F.when(F.col("user_id") % 3 == 0, "late_fusion_").when(F.col("user_id") % 3 == 1, "concatenation_").otherwise("single_")
+    hidden = F.when(k % 3 == 0, F.array(F.lit(256))).when(k % 3 == 1, F.array(F.lit(256), F.lit(128))).otherwise(F.array(F.lit(512), F.lit(256)))
+    mae = F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, None).otherwise(F.col("value"))
+    return e.select(k.alias("run_id"), F.concat(family, "event_type").alias("name"), hidden.alias("hidden"), mae.alias("mae"))
+
+
+@query(f"""WITH {_CELLS} SELECT name, count(*) AS n, round(min(mae), 6) AS best FROM cells
+WHERE (name LIKE 'late\\_fusion\\_%' ESCAPE '\\' OR name LIKE 'concatenation\\_%' ESCAPE '\\') AND hidden IN ([256], [512, 256]) AND mae IS NOT NULL AND NOT isnan(mae)
+  AND NOT (name = 'late_fusion_view' AND hidden = [512, 256]) GROUP BY name""")
+def run_filters(spark, sf_dir):
+    """Runs by name prefix and hidden sizes, without failed ones and without a cell known to be slow."""
+    wanted = F.col("hidden").isin(F.array(F.lit(256)), F.array(F.lit(512), F.lit(256)))
+    slow = (F.col("name") == "late_fusion_view") & (F.col("hidden") == F.array(F.lit(512), F.lit(256)))
+    rows = _cells(spark, sf_dir).where(F.col("name").startswith("late_fusion_") | F.col("name").startswith("concatenation_"))
+    rows = rows.where(wanted & F.col("mae").isNotNull() & ~F.isnan("mae") & ~slow)
+    return rows.groupBy("name").agg(F.count("*").alias("n"), r6(F.min("mae")).alias("best"))
+
+
+@query("""WITH w AS (SELECT event_id AS run, CAST(k AS INTEGER) AS layer, value / (value + 100 * k) AS w FROM events, range(1, 5) r(k))
+SELECT layer, count(*) AS n_runs, round(avg(w), 6) AS mean_weight, CAST(row_number() OVER (ORDER BY avg(w) DESC, layer) AS INTEGER) AS place FROM w GROUP BY layer""")
+def layer_weights(spark, sf_dir):
+    """Mean learned weight of each layer over all runs, the heaviest first."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), "value", F.explode(F.array(*[F.lit(k) for k in range(1, 5)])).alias("layer"))
+    mean = e.groupBy("layer").agg(F.count("*").alias("n_runs"), F.avg(F.col("value") / (F.col("value") + 100 * F.col("layer"))).alias("w"))
+    place = F.row_number().over(Window.orderBy(F.desc("w"), "layer"))  # a row a layer
+    return mean.select("layer", "n_runs", r6(F.col("w")).alias("mean_weight"), place.alias("place"))
+
+
+@query(f"""WITH {TURNS_SQL}, base AS (SELECT conv_id, turn, upper(answer) AS b FROM turns WHERE turn % 5 <> 0), tuned AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN answer ELSE question END AS t FROM turns WHERE turn % 7 <> 0)
+SELECT g.conv_id, count(*) AS turns, CAST(sum(CASE WHEN g.answer = b THEN 1 ELSE 0 END) AS BIGINT) AS em_base, CAST(sum(CASE WHEN g.answer = t THEN 1 ELSE 0 END) AS BIGINT) AS em_tuned
+FROM turns g JOIN base USING (conv_id, turn) JOIN tuned USING (conv_id, turn) GROUP BY g.conv_id""")
+def answers_three_way(spark, sf_dir):
+    """Gold answers against a base model's and a tuned one's, over the turns that all three have."""
+    g = turn_pairs(spark, sf_dir)
+    base = g.where("turn % 5 <> 0").select("conv_id", "turn", F.upper("answer").alias("b"))
+    tuned = g.where("turn % 7 <> 0").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, F.col("answer")).otherwise(F.col("question")).alias("t"))
+    same = lambda c: F.sum(F.when(F.col("answer") == F.col(c), 1).otherwise(0))
+    rows = g.join(base, ["conv_id", "turn"]).join(tuned, ["conv_id", "turn"])
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), same("b").alias("em_base"), same("t").alias("em_tuned"))
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT fileid, 3 AS n_layers, len(x) AS dims, round(x[1], 6) AS first_1, round(x[64], 6) AS first_2, round(x[1] * x[1], 6) AS first_3 FROM fr""")
+def layer_stack(spark, sf_dir):
+    """Long rows (fileid, layer, vector) stacked to one array of vectors an id, in the order of the layers."""
+    f, x = frames(spark, sf_dir), F.col("x")
+    layers = F.array(*[F.struct(F.lit(k).alias("layer"), v.alias("vec")) for k, v in ((3, F.transform(x, lambda a: a * a)), (1, x), (2, F.reverse(x)))])
+    long = f.select("fileid", F.explode(layers).alias("l"))
+    stacked = long.groupBy("fileid").agg(F.transform(F.sort_array(F.collect_list("l")), lambda r: r["vec"]).alias("s"))  # as many rows an id as there are layers
+    first = lambda k: r6(F.col("s")[k][0]).alias(f"first_{k + 1}")
+    return stacked.select("fileid", F.size("s").alias("n_layers"), F.size(F.col("s")[0]).cast("long").alias("dims"), first(0), first(1), first(2))
+
+
+@query(f"""WITH {UTT_SQL}, {FRAMES_SQL} SELECT CAST(m.fileid AS VARCHAR) AS fileid, speaker_id, label, len(x) AS dims FROM man m JOIN fr ON fr.fileid = m.fileid WHERE age IS NOT NULL""")
+def manifest_features(spark, sf_dir):
+    """A manifest's rows with the features that are stored under their files' base names."""
+    u = utterances(spark, sf_dir).where("age is not null").select("speaker_id", F.concat(F.lit("data/train/wav/"), "fileid", F.lit(".wav")).alias("abs_path"))
+    rows = readers.with_features(u, frames(spark, sf_dir).withColumn("fileid", F.col("fileid").cast("string")))
+    return rows.select("fileid", "speaker_id", "label", F.size("x").cast("long").alias("dims"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(u.v AS DOUBLE) AS v, u.i FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) u),
+s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM e GROUP BY i)
+SELECT vec_id, round(sum((v - m) / d), 5) AS total, round(max((v - m) / d), 5) AS top FROM e JOIN s USING (i) GROUP BY vec_id""")
+def standard_scaling(spark, sf_dir):
+    z = models.standardised(frames(spark, sf_dir), "x", "z")
+    return z.select(F.col("fileid").alias("vec_id"), F.round(A.total(F.col("z")), 5).alias("total"), F.round(F.array_max("z"), 5).alias("top"))
+
+
+_PAD = "list_concat([0.0, 0.0, 0.0, 0.0], list_transform(x, lambda v: CASE WHEN abs(v) < 0.05 THEN 0.0 ELSE v END), [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])"
+
+
+@query(f"""WITH {FRAMES_SQL}, q AS (SELECT fileid, {_PAD} AS x FROM fr), n AS (SELECT fileid, x, len(x) AS n FROM q),
+p AS (SELECT fileid, x, n, list_transform(range(0, n // 4 + 1), lambda k: list_sum(list_transform(x[greatest(1, k * 4 - 3):least(n, k * 4 + 4)], lambda v: v * v)) / 8) AS p FROM n),
+l AS (SELECT fileid, x, n, list_filter(range(0, len(p)), lambda k: greatest(1e-10, p[k + 1]) > greatest(1e-10, list_max(p)) * pow(10, -3)) AS l FROM p),
+t AS (SELECT fileid, x[l[1] * 4 + 1:least(n, (l[-1] + 1) * 4)] AS y FROM l),
+g AS (SELECT fileid, y, sqrt(list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-8) AS rms FROM t),
+z AS (SELECT fileid, list_transform(y, lambda v: v * (0.1 / rms)) AS z FROM g)
+SELECT fileid, len(z) AS n, round(list_max(list_transform(z, lambda v: abs(v))), 6) AS peak FROM z""")
+def preprocess_trim_rms(spark, sf_dir):
+    """Silence at both ends trimmed by the level of frames, then the level normalised."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    x = F.concat(zeros(4), F.transform("x", lambda v: F.when(F.abs(v) < 0.05, 0.0).otherwise(v)), zeros(8))
+    rows = frames(spark, sf_dir).select("fileid", x.alias("x")).select("fileid", A.preprocessed(F.col("x"), "trim_rms", frame=8, hop=4).alias("z"))
+    return rows.select("fileid", F.size("z").cast("long").alias("n"), r6(F.array_max(F.transform("z", lambda v: F.abs(v)))).alias("peak"))
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT fileid, list_transform(range(5, 61), lambda i: list_sum(list_transform(range(-4, 5), lambda k: x[i + k] * 2.0 * (9 * k * k - 60) / (9 * 708 - 3600)))) AS y FROM fr),
+d AS (SELECT fileid, list_concat([y[1], y[1], y[1], y[1]], y, [y[56], y[56], y[56], y[56]]) AS y FROM c)
+SELECT fileid, len(y) AS n, round(list_sum(y), 6) AS total, round(y[1], 6) AS first, round(y[64], 6) AS last FROM d""")
+def second_deltas(spark, sf_dir):
+    y = frames(spark, sf_dir).select("fileid", A.delta(F.col("x"), 9, 2, True).alias("y"))
+    return y.select("fileid", F.size("y").cast("long").alias("n"), r6(A.total(F.col("y"))).alias("total"), r6(F.get("y", F.lit(0))).alias("first"), r6(F.element_at("y", -1)).alias("last"))
+
+
 # ---- estimators and signal features: no SQL says them; tests hold them against direct computation -----------
 
 
@@ -737,7 +844,7 @@ def _tones(spark, sf_dir):
 
 @query()
 def mfcc(spark, sf_dir):
-    return _tones(spark, sf_dir).select("vec_id", dsp.mfcc_column(F.col("wave")).alias("mfcc")).select("vec_id", F.size("mfcc").alias("frames"), F.col("mfcc")[0].alias("first"))
+    return _tones(spark, sf_dir).select("vec_id", dsp.mfcc_column(F.col("wave"), skip_frames=2).alias("mfcc")).select("vec_id", F.size("mfcc").alias("frames"), F.col("mfcc")[0].alias("first"))
 
 
 @query()

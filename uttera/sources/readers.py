@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,6 @@ def checkpoint(paths: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("run", "folder")
 
 
-#: Known partitions; a url of local:// is built here and can't be fetched.
 def partition(registry: DataFrame, name: str) -> DataFrame:
     """The registry row of a partition; an unknown name raises when the row is read."""
     found = registry.where(F.col("partition") == name)
@@ -135,3 +135,40 @@ def fetch(spark: SparkSession, urls: list[str], ids: list[str] | DataFrame, inli
 
 def missing(wanted: DataFrame, found: DataFrame, key: str = "ID") -> DataFrame:
     return wanted.select(key).join(found.select(key), key, "left_anti").distinct()
+
+
+def verified(files: DataFrame, prefix: str) -> DataFrame:
+    """Binary files (path, content) whose SHA-256 begins with `prefix`; another digest raises when its row is read."""
+    digest = F.sha2("content", 256)
+    wrong = F.concat(F.lit("wrong checksum of "), F.col("path"))
+    return files.where(F.assert_true(digest.startswith(prefix.lower()), wrong).isNull())
+
+
+def load_model(path: str):
+    """A model that sinks.save_model() wrote, of the class named in its metadata."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, _context())
+
+
+def _context():
+    return SparkSession.getActiveSession()
+
+
+def resumed(todo: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Rows of todo whose key has no finished row in the result table at `path`; all, where there is no table."""
+    try:
+        done = todo.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return todo
+    if "status" in done.columns:
+        done = done.where("status = 'ok'")
+    return todo.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def with_features(rows: DataFrame, features: DataFrame, path: str = "abs_path") -> DataFrame:
+    """Manifest rows joined to features (fileid, vec, ...) by the base name of their path without its .wav ending."""
+    name = fileid_suffix(F.element_at(F.split(path, "/"), -1))
+    return rows.withColumn("fileid", name).join(features, "fileid")

@@ -6,6 +6,7 @@ import io
 import wave
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,27 @@ def append_results(df: DataFrame, path: str) -> None:
 
 
 def cache_features(df: DataFrame, path: str) -> None:
-    """Features by transform and partition; what is there already stays."""
-    df.write.mode("ignore").partitionBy("transform_id", "partition").parquet(path)
+    """Features by transform and partition; what is there already stays, pair by pair, and the others are added."""
+    key = ["transform_id", "partition"]
+    try:
+        there = df.sparkSession.read.parquet(path).select(*[F.col(k).cast("string").alias(f"_{k}") for k in key]).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        df = df.join(there, [F.col(k).cast("string").eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti")
+    df.write.mode("append").partitionBy(*key).parquet(path)
+
+
+def predictions_table(df: DataFrame, path: str, run: str) -> None:
+    """A run's predictions (fileid, hyp and, where known, ref); a repeated run replaces its own rows only."""
+    rows = df.select("fileid", "hyp", *[c for c in ("ref",) if c in df.columns])
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pyspark.ml model; readers.load_model() gives it back."""
+    model.write().overwrite().save(path)
 
 
 def metrics_json(df: DataFrame) -> DataFrame:

@@ -85,10 +85,3 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter(F.transform("w", lambda w, i: F.when((i + 1) % 5 == 0, None).when((i + 1) % 7 == 0, "eight").otherwise(w)), lambda w: w.isNotNull())
     return rows.select("doc_id", "lang", F.array_join("w", " ").alias("ref"), F.array_join(kept, " ").alias("hyp"))
 
-
-PAIRS_SQL = r"""wd AS (SELECT doc_id, lang, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')[1:12] AS w FROM documents),
-pairs AS (
-  SELECT doc_id, lang, array_to_string(w, ' ') AS ref,
-    array_to_string(list_filter(list_transform(w, lambda v, i: CASE WHEN i % 5 = 0 THEN NULL WHEN i % 7 = 0 THEN 'eight' ELSE v END), lambda v: v IS NOT NULL), ' ') AS hyp
-  FROM wd
-)"""
