@@ -139,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
         return pd.Series([slots(t) for t in texts])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `known` has at most `sample` rows
-    found = rows.select("doc_id", "good", featured("text").alias("f")).limit(2 * sample).collect()
+    # repeated ids could exceed the bound: the smallest hashes of (id, text) decide which stay
+    rows = rows.select("doc_id", "good", featured("text").alias("f"), F.xxhash64("doc_id", "text").alias("_o"))
+    found = rows.orderBy("_o").limit(2 * sample).collect()
     found.sort(key=lambda r: (r["doc_id"], r["f"]))
     x, good = [r["f"] for r in found], np.array([r["good"] for r in found], bool)
     if not found:

@@ -205,8 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionLis
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `sample` rows of two numbers
     rows = text_stats(rows, "text", "_s").where(~base_failed("_s"))
-    # repeated ids could exceed the bound: the smallest hash of (id, text) decides which stay
-    found = rows.select("quality", *[F.col("_s")[k].alias(k) for k in STATS]).limit(2 * sample).collect()
+    # repeated ids could exceed the bound: the smallest hashes of (id, text) decide which stay
+    rows = rows.select("quality", *[F.col("_s")[k].alias(k) for k in STATS], F.xxhash64("doc_id", "text").alias("_o"))
+    found = rows.orderBy("_o").limit(2 * sample).collect()
     stats = {k: np.array([r[k] for r in found], float) for k in STATS}
     of = _at_least_one(stats, lambda v: np.maximum(v, 1.0))
     x = np.stack([f(of) for f in FEATURES.values()], 1) if found else np.zeros((0, len(FEATURES)))
