@@ -40,7 +40,7 @@ N_BEST = 4
 INFINITE = float("inf")
 #: Segments that a worker remembers; segments over LONG characters are searched one by one, others CHUNK at a time.
 CACHE, LONG, CHUNK = 120_000, 64, 4_096
-#: Characters of texts that are segmented together.
+#: Bytes of texts that are segmented together.
 GROUP = 1_000_000
 #: No code point.
 _NONE = (1 << 21) - 1
@@ -386,64 +386,89 @@ HYPOTHESES = "array<struct<score: double, ids: array<int>>>"
 _CHECKED = "array<struct<score: double, n_pieces: bigint, pieces_sha256: string, round_trip: boolean>>"
 
 
+def hypotheses(model: Lattice, texts: list[str], n: int) -> pa.Array:
+    """HYPOTHESES of each text."""
+    scores, ids, rows = array("d"), [], array("i", [0])
+    for found in model.encoded(texts, n):
+        for score, one in found:
+            scores.append(score)
+            ids.append(one)
+        rows.append(len(scores))
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(scores, np.float64)), lists], ["score", "ids"])
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(rows, np.int32)), pairs)
+
+
+def checked(model: Lattice, texts: pa.Array, found: pa.Array) -> pa.Array:
+    """For each of the HYPOTHESES of each text its score, size, digest and whether it decodes to the text."""
+    rows = found.flatten()
+    ids = rows.field("ids")
+    data, ends = memoryview(ids.values.to_numpy().astype(np.int32, copy=False)), ids.offsets.to_pylist()
+    digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    want = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+    want = pc.if_else(pc.equal(want, ""), want, pc.binary_join_element_wise(" ", want, "")).cast(pa.binary())
+    exact = pc.equal(model.decoded(ids), want.take(pc.list_parent_indices(found)))
+    columns = [rows.field("score"), pc.list_value_length(ids).cast(pa.int64()), pa.array(digests, pa.string()), exact]
+    cuts = pc.subtract(found.offsets, found.offsets[0])
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(columns, ["score", "n_pieces", "pieces_sha256", "round_trip"]))
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of about GROUP bytes: what is made of a run is held at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, size = 0, 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= GROUP or k + 1 == len(sizes):
+            yield start, k + 1 - start
+            start, size = k + 1, 0
+
+
+def _joined(parts: list[pa.Array], empty) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else empty()
+
+
 def n_best_column(text: Column, path: str, n: int = N_BEST) -> Column:
     """HYPOTHESES of each text: score and ids of the n best segmentations."""
 
     @F.arrow_udf(HYPOTHESES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = lattice(path)
-        for batch in batches:
-            scores, ids, rows = array("d"), [], array("i", [0])
-            for group in grouped(batch):
-                for hypotheses in model.encoded(group, n):
-                    for score, one in hypotheses:
-                        scores.append(score)
-                        ids.append(one)
-                    rows.append(len(scores))
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(scores, np.float64)), lists], ["score", "ids"])
-            yield pa.ListArray.from_arrays(pa.array(np.frombuffer(rows, np.int32)), pairs)
+        for texts in batches:
+            parts = [hypotheses(model, [t or "" for t in texts.slice(a, m).to_pylist()], n) for a, m in slices(texts)]
+            yield _joined(parts, lambda: hypotheses(model, [], n))
 
     return run(text)
 
 
-def grouped(texts: pa.Array) -> Iterator[list[str]]:
-    """Lists of about GROUP characters; null texts become empty."""
-    group, size = [], 0
-    for text in texts.to_pylist():
-        group.append(text or "")
-        size += len(group[-1])
-        if size >= GROUP:
-            yield group
-            group, size = [], 0
-    yield group
-
-
-def checked_column(text: Column, hypotheses: Column, path: str) -> Column:
+def checked_column(text: Column, found: Column, path: str) -> Column:
     """For each of the HYPOTHESES of a text its score, size, digest and whether it decodes to the text."""
 
     @F.arrow_udf(_CHECKED)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = lattice(path)
-        for texts, found in batches:
-            sizes, digests, exact = [], [], []
-            # a few texts at a time: their n spelled-out forms are held at once
-            for at in range(0, len(texts), 64):
-                some = found.slice(at, 64)
-                ids = some.flatten().field("ids")
-                data, ends = memoryview(ids.values.to_numpy().astype(np.int32, copy=False)), ids.offsets.to_pylist()
-                sizes += pc.list_value_length(ids).to_pylist()
-                digests += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                want = pc.replace_substring(pc.fill_null(texts.slice(at, 64), ""), MARK, " ")
-                want = pc.if_else(pc.equal(want, ""), want, pc.binary_join_element_wise(" ", want, "")).cast(pa.binary())
-                exact.append(pc.equal(model.decoded(ids), want.take(pc.list_parent_indices(some))))
-            exact = pa.concat_arrays(exact) if exact else pa.array([], pa.bool_())
-            columns = [found.flatten().field("score"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), exact]
-            rows = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(rows), pa.StructArray.from_arrays(columns, ["score", "n_pieces", "pieces_sha256", "round_trip"]))
-
-    return run(text, hypotheses)
+        for texts, h in batches:
+            parts = [checked(model, texts.slice(a, m), h.slice(a, m)) for a, m in slices(texts)]
+            yield _joined(parts, lambda: checked(model, pa.array([], pa.string()), hypotheses(model, [], 1)))
+
+    return run(text, found)
+
+
+def n_best_checked_column(text: Column, path: str, n: int = N_BEST) -> Column:
+    """checked_column() over n_best_column(), without the ids leaving the worker between."""
+
+    @F.arrow_udf(_CHECKED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = lattice(path)
+        for texts in batches:
+            parts = []
+            for a, m in slices(texts):
+                some = texts.slice(a, m)
+                parts.append(checked(model, some, hypotheses(model, [t or "" for t in some.to_pylist()], n)))
+            yield _joined(parts, lambda: checked(model, pa.array([], pa.string()), hypotheses(model, [], n)))
+
+    return run(text)
 
 
 def n_best(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
@@ -457,7 +482,8 @@ def n_best_texts(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
 
     Size, score and digest of the best one and the score of the last also stand alone; round_trip holds for all n.
     """
-    rows = n_best(docs, path, n).select("doc_id", checked_column(F.col("text"), F.col("hypotheses"), path).alias("h"))
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", n_best_checked_column(F.col("text"), path, n).alias("h"))
     best, last = F.col("h")[0], F.element_at("h", -1)
     return rows.select(
         "doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("best_score"), F.size("h").alias("n_best"), last["score"].alias("last_score"),
