@@ -12,7 +12,9 @@ memory doesn't grow with a conversation. Only the contract's digests run over a
 conversation are therefore sorted into one task, which streams them through hash states.
 
 Defined cases: null text or role counts as empty. Rows are ordered by turn, then role, then text, nulls first; repeated rows
-stay. Rows without a conversation id form one conversation. An unknown layout raises. Empty tables give empty results.
+stay. Rows without a conversation id form one conversation. Empty tables give empty results. A record whose texts or roles are null
+has the layout that it would have with strings, and nulls count as empty. A record in no known layout, or that is no JSON, ends no
+job: its formatted text is null and the reason stands in the column error; read_back() counts no turns for it.
 """
 
 from __future__ import annotations
@@ -92,15 +94,18 @@ def registry(mappings=MAPPINGS) -> dict[str, dict]:
 
 def canonical(record: dict, known: dict[str, dict]) -> list[tuple[str, str]]:
     """(role, text) of a record by the mapping that its fingerprint selects."""
-    m = known.get(fingerprint(paths(record)))
+    found = paths(record)
+    m = known.get(fingerprint(found))
+    if m is None:  # ends that are null count as strings
+        m = known.get(fingerprint({p if p in EXTRA else re.sub(":null$", ":str", p) for p in found}))
     if m is None:
         raise ValueError(f"no mapping for the layout {sorted(paths(record))}")
     if "list" in m:
         turns = record
         for part in m["list"].split("."):
             turns = turns[part]
-        return [(m.get("roles", {}).get(t[m["role"]], t[m["role"]]), t[m["text"]]) for t in turns]
-    return [(role, record[field]) for field, role in m["fields"] if record.get(field) is not None]
+        return [(m.get("roles", {}).get(t[m["role"]], t[m["role"]]) or "", t[m["text"]] or "") for t in turns]
+    return [(role, record[field] or "") for field, role in m["fields"] if field in record]
 
 
 def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -168,7 +173,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _RECORDS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("record", pa.string())])
-_PIECES = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.list_(pa.int32())))])
+_PIECES = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.list_(pa.int32()))), ("error", pa.string())])
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
@@ -177,8 +182,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for conv_id, segment, record in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "record")), strict=True):
-            text, mask = formatted(canonical(json.loads(record), known))
-            out.append((conv_id, segment, text, mask))
+            try:
+                text, mask = formatted(canonical(json.loads(record or ""), known))
+                out.append((conv_id, segment, text, mask, None))
+            except ValueError as e:
+                out.append((conv_id, segment, None, [], str(e)))
         yield _batch(out, _PIECES)
 
 
@@ -196,6 +204,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if segment == 0:
                 close()
                 now, state = conv_id, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
+            if text is None:
+                continue
             for role, body in parsed(text):
                 state[0].update(f"{role}\n{body}\n".encode())
                 state[2] += 1
@@ -218,8 +228,8 @@ def records(turns: DataFrame) -> DataFrame:
 
 
 def format_records(rows: DataFrame) -> DataFrame:
-    """conv_id, segment, formatted text and loss mask of JSON records in any known layout; order and partitions stay."""
-    return rows.select("conv_id", "segment", "record").mapInArrow(_format, "conv_id long, segment long, formatted string, mask array<array<int>>")
+    """conv_id, segment, formatted text, loss mask and error of JSON records in any known layout; order and partitions stay."""
+    return rows.select("conv_id", "segment", "record").mapInArrow(_format, "conv_id long, segment long, formatted string, mask array<array<int>>, error string")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
