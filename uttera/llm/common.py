@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +62,44 @@ def salted_lookup(rows: DataFrame, small: DataFrame, on: list[str], salt_of: Col
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) -> None:
+#: What empties each operator's caches in this Python worker, by operator.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(owner: str, empty: Callable[[], None]) -> None:
+    """Names a worker-wide cache of the operator `owner`, so that another operator's task can empty it."""
+    _CACHES[owner] = empty
+
+
+@contextmanager
+def worker_memory(owner: str) -> Iterator[None]:
+    """Around the work of one task in a Python worker, which Spark hands on to later tasks of any operator.
+
+    Other operators' caches are emptied first; afterwards what is free goes back to the system, for workers wait beside a full heap.
+    """
+    for name, empty in _CACHES.items():
+        if name != owner:
+            empty()
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def tidy(owner: str, fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """fn, from batches to batches, inside worker_memory(owner)."""
+
+    def run(batches: Iterator) -> Iterator:
+        with worker_memory(owner):
+            yield from fn(batches)
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 4) -> None:
     """Let no more than `rows` rows, and about `megabytes`, go to a Python worker at a time: texts can be long.
 
     The default of 10,000 rows holds several copies of tens of megabytes in each worker. Smaller settings stay.

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import Recent, small_batches
+from uttera.llm.common import Recent, small_batches, worker_cache
 
 MARK = "▁"
 BYTE = -100_000.0
@@ -373,6 +373,7 @@ def normal(text: str) -> str:
 
 
 _LATTICES: dict[str, Lattice] = {}
+worker_cache("pieces", _LATTICES.clear)
 
 
 def lattice(path: str) -> Lattice:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import small_batches, written
+from uttera.llm.common import small_batches, tidy, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in their order in a list of spans; the last is only found by the method.
@@ -190,8 +190,7 @@ _FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, wide
 def found_column(text: Column) -> Column:
     """Struct _FOUND: base spans, the candidates beside them, and kind + votes of all."""
 
-    @F.pandas_udf(_FOUND)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def rows_of(batches):
         for batch in batches:
             rows = []
             for text in batch:
@@ -207,6 +206,10 @@ def found_column(text: Column) -> Column:
                 )
             yield pd.DataFrame(rows, columns=["base", *[f"n_{k}" for k in BASE_KINDS], "wide", "seen"])
 
+    @F.pandas_udf(_FOUND)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy("pii", rows_of)(batches)
+
     return find(text)
 
 
@@ -321,8 +324,7 @@ def masked(docs: DataFrame) -> DataFrame:
     take = accepted(pattern_counts(counted, "f"))
     yes = set(take)
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
+    def hidden(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             if text is None:
@@ -337,6 +339,10 @@ def masked(docs: DataFrame) -> DataFrame:
             out.append("".join([*parts, text[last:]]) if spans else text)
         return pd.Series(out, dtype="object")
 
+    @F.pandas_udf("string")
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy("pii", lambda b: map(hidden, b))(batches)
+
     return docs.withColumn("text", mask(F.col("text")))
 
 

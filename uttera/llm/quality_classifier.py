@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import free_name, salted_lookup, small_batches, written
+from uttera.llm.common import free_name, salted_lookup, small_batches, tidy, written
 
 #: Hashed word features; the last positions hold the character shares.
 WIDTH = 1 << 17
@@ -75,8 +75,7 @@ class Evidence:
     def column(self, text: Column) -> Column:
         weights, bias = self.weights.astype(np.float32), self.bias
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def scored(batches):
             known: dict[str, int] = {}
             for batch in batches:
                 out = []
@@ -96,6 +95,10 @@ class Evidence:
                     out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
                 yield pd.Series(out, dtype="float64")
 
+        @F.pandas_udf("double")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from tidy("quality_classifier", scored)(batches)
+
         return score(text)
 
 

@@ -26,14 +26,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttera.llm.common import Recent, small_batches
+from uttera.llm.common import Recent, small_batches, worker_cache, worker_memory
 
 #: Entries of the broadcast table, and rows of the sample that it is filled from.
 TABLE, SAMPLE_ROWS = 60_000, 4_000
 #: Pre-tokens in each of the two generations that a worker remembers; longer ones than LONG characters aren't remembered.
 CACHE, LONG = 150_000, 64
 #: Characters of texts whose misses are encoded together.
-GROUP = 1_000_000
+GROUP = 250_000
 LIMIT = 1024
 
 
@@ -116,6 +116,7 @@ class TokenCounter:
 
 
 _COUNTERS: dict = {}
+worker_cache("token_counts", _COUNTERS.clear)
 
 
 def _counter(path: str, pattern: str, table: dict[str, int], key: str) -> TokenCounter:
@@ -155,16 +156,17 @@ def tokens_column(docs: DataFrame, path: str, pattern: str, text: str = "text")
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(path, pattern, table.value, key)
-        for batch in batches:
-            out, group, size = [], [], 0
-            for text in batch:
-                group.append(text)
-                size += len(text or "")
-                if size >= GROUP:
-                    out += counter.counts(group)
-                    group, size = [], 0
-            yield pd.Series(out + counter.counts(group), dtype="int64")
+        with worker_memory("token_counts"):
+            counter = _counter(path, pattern, table.value, key)
+            for batch in batches:
+                out, group, size = [], [], 0
+                for text in batch:
+                    group.append(text)
+                    size += len(text or "")
+                    if size >= GROUP:
+                        out += counter.counts(group)
+                        group, size = [], 0
+                yield pd.Series(out + counter.counts(group), dtype="int64")
 
     return count(F.col(text))
 
