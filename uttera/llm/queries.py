@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.llm import chat, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, token_counts, warc
+from uttera.llm import chat, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, token_counts, vector_codes, vector_codes_sql, warc
 from uttera.llm.common import table, written
 
 
@@ -88,6 +88,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("measured_share")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_ngram_join": op10_ngram_join,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
 
@@ -151,4 +157,4 @@ SELECT s.doc_id, s.n AS n_shingles, min(r) AS component_id FROM sizes s JOIN rea
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL, "op13_vector_codes": vector_codes_sql.SQL}
