@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.llm import chat, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, token_counts, vector_codes, vector_codes_sql, warc
+from uttera.llm import chat, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, spelling, token_counts, vector_codes, vector_codes_sql, warc
 from uttera.llm.common import table, written
 
 
@@ -88,6 +88,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near words of every word of the documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and errors of every vector."""
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("measured_share")
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_ngram_join": op10_ngram_join,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
@@ -155,6 +161,30 @@ reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, edges
 SELECT s.doc_id, s.n AS n_shingles, min(r) AS component_id FROM sizes s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.n
 """
 
+OP12_SQL = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) AS r(b)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS r FROM documents),
+own AS (SELECT doc_id, r, count(*) AS c, concat(doc_id, ':', r) AS s FROM runs WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT r, c, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, strlen(s) + 1), lambda i: CAST('0x' || substr(hex(s), 2 * i - 1, 2) AS BIGINT)),
+    lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) AS h FROM own, crc),
+holed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM holed WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM words, range(1, length(word) + 1) AS t(i)),
+half AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b USING (i, cut) WHERE a.word <> b.word
+  UNION SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON words.word = cut),
+pairs AS (SELECT * FROM half UNION SELECT h.near, h.word, w.n FROM half h JOIN words w ON w.word = h.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(n := -near_n, w := encode(near))) AS b FROM pairs GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * n THEN decode(b.w) END AS form, CASE WHEN -b.n >= 5 * n THEN -b.n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM formed UNION SELECT chain.word, form FROM chain JOIN formed ON formed.word = chain.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain ON chain.word = f.word JOIN formed l ON l.word = chain.at WHERE l.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL, "op13_vector_codes": vector_codes_sql.SQL}
+    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_vector_codes": vector_codes_sql.SQL}
