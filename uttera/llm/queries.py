@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttera.llm import chat, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, spelling, token_counts, vector_codes, vector_codes_sql, warc
+from uttera.llm import chat, html_text, ngram_join, packing, permutation_index, pieces, pii, quality_classifier, quality_rules, spelling, token_counts, vector_codes, vector_codes_sql, warc
 from uttera.llm.common import table, written
 
 
@@ -88,6 +88,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_texts(pages, html_text.fit(pages))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, root and near words of every word of the documents."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -117,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_ngram_join": op10_ngram_join,
+        "op11_html_text": op11_html_text,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
@@ -161,6 +168,17 @@ reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, edges
 SELECT s.doc_id, s.n AS n_shingles, min(r) AS component_id FROM sizes s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.n
 """
 
+#: For the layout that the table's pages have; the query itself knows no layout.
+OP11_SQL = r"""
+WITH b AS (
+  SELECT page_id, url, unnest(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>')) AS t,
+    generate_subscripts(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'), 1) AS i FROM pages),
+c AS (
+  SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM b),
+d AS (SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE t <> ''), '') AS text FROM c GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 OP12_SQL = """
 WITH RECURSIVE crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) AS r(b)),
 runs AS (
@@ -187,4 +205,4 @@ FROM formed f JOIN chain ON chain.word = f.word JOIN formed l ON l.word = chain.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_vector_codes": vector_codes_sql.SQL}
+    return {"op1_warc": OP1_SQL, "op2_chat_format": OP2_SQL, "op10_ngram_join": OP10_SQL, "op11_html_text": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_vector_codes": vector_codes_sql.SQL}
