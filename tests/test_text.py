@@ -1,13 +1,14 @@
 """Text metrics against direct computation and published values."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from uttera.functions import text as T
 from uttera.operators.dsp import translation_edits
-from uttera.sources.sinks import one_decimal
+from uttera.sources.sinks import one_decimal, submission
 
 
 def edits(a, b):
@@ -43,8 +44,31 @@ def test_f1_and_thinking(spark):
 
 
 def test_rounding(spark):
-    df = spark.createDataFrame([(2.25,), (2.35,), (7.0,)], "x double")
-    assert [r[0] for r in df.select(one_decimal(F.col("x"))).collect()][0] == "2.2"
+    values = [2.25, 2.35, 7.0, 0.15, 0.35, 0.45, 1.05, 8.35, 33.45, 0.25, 0.75, -0.04, -0.25, 1e300, 123456789012345.65, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [r[0] for r in df.select(one_decimal(F.col("x"))).collect()]
+    assert got == [None if x is None else f"{x:.1f}" for x in values]
+    assert got[3:9] == ["0.1", "0.3", "0.5", "1.1", "8.3", "33.5"]
+
+
+def test_submission_keeps_places(spark):
+    dev = spark.createDataFrame([("b", 1.25, 0), ("a", 2.0, 1)], "fileid string, hyp double, place int")
+    out = submission(dev, dev.limit(0).unionByName(spark.createDataFrame([("0", 3.0, 0)], dev.schema)), order="place")
+    assert [tuple(r) for r in out.collect()] == [("b", "1.2"), ("a", "2.0"), ("0", "3.0")] and out.columns == ["fileId", "Age"]
+
+
+def test_blanks_of_any_script(spark):
+    text = "a\u00a0b\u2003c\x1cd\x85e\u3000 f\u200bg"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(T.tokens(F.col("t"))).first()[0] == text.split()
+
+
+def test_bags(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abcde") for _ in range(rng.randrange(9))], [rng.choice("bcdef") for _ in range(rng.randrange(9))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(T.bag_overlap(F.col("a"), F.col("b"))).collect()]
+    assert got == [(Counter(a) & Counter(b)).total() for a, b in rows]
 
 
 def test_shifts():

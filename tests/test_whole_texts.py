@@ -103,9 +103,10 @@ def test_answers_are_scored_whole(spark, tmp_path):
     rows = {r.conv_id: r for r in QUERIES["em_f1_rollup"](spark, str(tmp_path)).collect()}
     for k, answer in enumerate(answers):
         gold = tokens(answer)
-        pred = gold if k * 2 % 3 == 0 else gold[3:]
+        pred = {0: gold, 1: ["well", *gold, "indeed"], 2: gold[3:]}[k * 2 % 3]
         common = sum(min(gold.count(w), pred.count(w)) for w in set(gold))
         f1 = 1.0 if not gold and not pred else 0.0 if not gold or not pred else 2 * common / (len(gold) + len(pred))
-        assert (got[k].em_strict, got[k].f1) == (int(gold == pred), round(f1, 6))
-        assert (rows[k].em, rows[k].f1) == (int(gold == pred), round(f1, 6))
-    assert got[5].f1 == round(2 * 11 / 25, 6)
+        held = int(" ".join(gold) in " ".join(pred))
+        assert (got[k].em_strict, got[k].em_contains, got[k].f1) == (int(gold == pred), held, round(f1, 6))
+        assert (rows[k].em, rows[k].em_contains, rows[k].f1) == (int(gold == pred), held, round(f1, 6))
+    assert got[4].f1 == round(2 * 10 / 23, 6) and [got[k].em_contains for k in (4, 5)] == [0, 1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
 from uttera.functions import text as T
-from uttera.operators import dsp, evaluation, intervals, models, sampling
+from uttera.operators import alignment, dsp, evaluation, intervals, models, sampling
 from uttera.sources import readers
 from uttera.sources.sinks import submission
 from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
@@ -192,12 +192,11 @@ def stratified_holdout(spark, sf_dir):
     return sampling.holdout(_strata(spark, sf_dir), "fileid", ["stratum"])
 
 
-@query(f"""WITH {UTT_SQL}, p AS (SELECT 'train' AS p, 0 AS o UNION ALL SELECT 'dev', 1 UNION ALL SELECT 'train', 2 UNION ALL SELECT 'evl', 3)
-SELECT p AS partition, CAST(row_number() OVER (ORDER BY min(o)) AS INTEGER) AS place FROM p GROUP BY p""")
+@query("SELECT user_id AS item, row_number() OVER (ORDER BY min(event_id)) AS place FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def ordered_dedup(spark, sf_dir):
-    p = spark.createDataFrame([("train", 0), ("dev", 1), ("train", 2), ("evl", 3)], "partition string, o int")
-    first = p.groupBy("partition").agg(F.min("o").alias("o"))
-    return first.select("partition", F.row_number().over(Window.orderBy("o")).alias("place"))
+    """Each user once, in the order in which the events first name them."""
+    first = table(spark, sf_dir, "events").where("user_id is not null").groupBy(F.col("user_id").alias("item")).agg(F.min("event_id").alias("o"))
+    return sampling.places(first, "o").select("item", "place")
 
 
 # ---- ensembles, metrics, leaderboards ---------------------------------------------------------------------
@@ -396,10 +395,11 @@ def latency_summary(spark, sf_dir):
     return g.select("llm", "n_turns", r6(F.col("a")).alias("asr_s"), r6(F.col("l")).alias("llm_s"), r6(F.col("t")).alias("tts_s"), r6(whole).alias("total_s"), r6(F.col("a") / whole).alias("asr_share"), S.latency_verdict(whole).alias("verdict"))
 
 
-@query(f"""WITH {PRED_SQL}, s AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS o, vec_id, hyp FROM pred WHERE model = 1)
-SELECT CAST(vec_id AS VARCHAR) AS "fileId", printf('%.1f', round_even(hyp, 1)) AS "Age" FROM s""")
+@query(f"""WITH {PRED_SQL} SELECT CAST(vec_id AS VARCHAR) AS "fileId", printf('%.1f', hyp + vec_id % 40 * 0.05 - 20) AS "Age" FROM pred WHERE model = 1""")
 def submission_rows(spark, sf_dir):
-    p = predictions(spark, sf_dir).where("model = 1").select(F.col("vec_id").alias("fileid"), "hyp")
+    """Predictions in steps of 0.05, so that most ties of the decimal string are none of the double."""
+    hyp = F.col("hyp") + F.col("vec_id") % 40 * F.lit(0.05) - 20
+    p = predictions(spark, sf_dir).where("model = 1").select(F.col("vec_id").alias("fileid"), hyp.alias("hyp"))
     return submission(p.where("fileid % 3 = 0"), p.where("fileid % 3 <> 0"))
 
 
@@ -575,7 +575,8 @@ def interval_phone_word(spark, sf_dir):
     return intervals.midpoint_join(phones, words, "utt", 86_400.0).select("utt", "label", "w_label")
 
 
-_NORM = lambda t: f"trim(regexp_replace(translate(lower({t}), '" + T.PUNCTUATION.replace("'", "''") + "', ''), '\\s+', ' ', 'g'))"
+_BLANKS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_NORM = lambda t: f"trim(regexp_replace(translate(lower({t}), '" + T.PUNCTUATION.replace("'", "''") + "', ''), '" + _BLANKS + "', ' ', 'g'))"
 _TOK = lambda t: f"CASE WHEN {_NORM(t)} = '' THEN [] ELSE string_split({_NORM(t)}, ' ') END"
 
 # no SQL says the distance of whole texts in reasonable time; tests hold these two against brute force
@@ -595,19 +596,37 @@ def wer_corpus(spark, sf_dir):
     return g.select(F.coalesce("lang", F.lit("all")).alias("lang"), "edits", "n_ref", r6(F.try_divide("edits", "n_ref")).alias("wer"))
 
 
-_QA = f"""WITH {TURNS_SQL}, q AS (SELECT conv_id, turn, {_TOK("answer")} AS a FROM turns), g AS (SELECT conv_id, turn, a AS g, CASE WHEN turn % 3 = 0 THEN a ELSE a[4:] END AS p FROM q),
-sc AS (SELECT conv_id, turn, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CASE WHEN contains(array_to_string(p, ' '), array_to_string(g[4:6], ' ')) THEN 1 ELSE 0 END AS em_contains,
+def _words(spark, sf_dir):
+    p = text_pairs(spark, sf_dir)
+    return p.select("doc_id", "lang", T.number_normalised(T.tokens(F.col("ref"))).alias("r"), T.number_normalised(T.tokens(F.col("hyp"))).alias("h"))
+
+
+@query()
+def word_alignment(spark, sf_dir):
+    """Matches, substitutions, deletions and insertions of each whole text."""
+    return _words(spark, sf_dir).select("doc_id", F.size("r").cast("long").alias("n_ref"), F.size("h").cast("long").alias("n_hyp"), alignment.alignment_counts(F.col("r"), F.col("h")).alias("c")).select("doc_id", "n_ref", "n_hyp", "c.*")
+
+
+@query()
+def word_confusions(spark, sf_dir):
+    """How often each word became another, over all texts."""
+    return alignment.confusions(alignment.edit_rows(_words(spark, sf_dir), "doc_id", "r", "h", matches=False))
+
+
+_QA = f"""WITH {TURNS_SQL}, q AS (SELECT conv_id, turn, {_TOK("answer")} AS a FROM turns), g AS (SELECT conv_id, turn, a AS g, CASE turn % 3 WHEN 0 THEN a WHEN 1 THEN ['well'] || a || ['indeed'] ELSE a[4:] END AS p FROM q),
+sc AS (SELECT conv_id, turn, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CASE WHEN contains(array_to_string(p, ' '), array_to_string(g, ' ')) THEN 1 ELSE 0 END AS em_contains,
   CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1.0 WHEN len(g) = 0 OR len(p) = 0 THEN 0.0 ELSE
    2.0 * coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))), 0) / (len(g) + len(p)) END AS f1 FROM g)"""
 
 
 def _qa(spark, sf_dir):
+    """Each answer against itself, itself inside more words, or itself without its first three words."""
     a = turn_pairs(spark, sf_dir).select("conv_id", "turn", T.tokens(F.col("answer")).alias("a"))
-    rest = F.filter("a", lambda w, i: i >= 3)  # the whole answer without its first three words
-    a = a.select("conv_id", "turn", F.col("a").alias("g"), F.when(F.col("turn") % 3 == 0, F.col("a")).otherwise(rest).alias("p"))
+    more, rest = F.concat(F.array(F.lit("well")), "a", F.array(F.lit("indeed"))), F.filter("a", lambda w, i: i >= 3)
+    a = a.select("conv_id", "turn", F.col("a").alias("g"), F.when(F.col("turn") % 3 == 0, F.col("a")).when(F.col("turn") % 3 == 1, more).otherwise(rest).alias("p"))
     return a.select(
         "conv_id", "turn", F.when(F.col("g") == F.col("p"), 1).otherwise(0).alias("em_strict"),
-        F.when(F.contains(F.array_join("p", " "), F.array_join(F.slice("g", 4, 3), " ")), 1).otherwise(0).alias("em_contains"), T.token_f1(F.col("g"), F.col("p")).alias("f1"),
+        F.when(F.contains(F.array_join("p", " "), F.array_join("g", " ")), 1).otherwise(0).alias("em_contains"), T.token_f1(F.col("g"), F.col("p")).alias("f1"),
     )
 
 
@@ -616,9 +635,9 @@ def em_f1_turns(spark, sf_dir):
     return _qa(spark, sf_dir).withColumn("f1", r6(F.col("f1")))
 
 
-@query(_QA + " SELECT coalesce(conv_id, -1) AS conv_id, count(*) AS turns, CAST(sum(em_strict) AS BIGINT) AS em, round(avg(f1), 6) AS f1 FROM sc GROUP BY ROLLUP (conv_id)")
+@query(_QA + " SELECT coalesce(conv_id, -1) AS conv_id, count(*) AS turns, CAST(sum(em_strict) AS BIGINT) AS em, CAST(sum(em_contains) AS BIGINT) AS em_contains, round(avg(f1), 6) AS f1 FROM sc GROUP BY ROLLUP (conv_id)")
 def em_f1_rollup(spark, sf_dir):
-    g = _qa(spark, sf_dir).rollup("conv_id").agg(F.count("*").alias("turns"), F.sum("em_strict").alias("em"), r6(F.avg("f1")).alias("f1"))
+    g = _qa(spark, sf_dir).rollup("conv_id").agg(F.count("*").alias("turns"), F.sum("em_strict").alias("em"), F.sum("em_contains").alias("em_contains"), r6(F.avg("f1")).alias("f1"))
     return g.withColumn("conv_id", F.coalesce("conv_id", F.lit(-1)))
 
 

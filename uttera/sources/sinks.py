@@ -6,20 +6,26 @@ import io
 import wave
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def submission(dev: DataFrame, evl: DataFrame) -> DataFrame:
-    """fileId and Age with one decimal (ties to even), dev rows before evl rows."""
-    rows = dev.select(F.lit(0).alias("o"), "fileid", "hyp").unionByName(evl.select(F.lit(1).alias("o"), "fileid", "hyp"))
-    return rows.orderBy("o", "fileid").select(F.col("fileid").cast("string").alias("fileId"), one_decimal(F.col("hyp")).alias("Age"))
+def submission(dev: DataFrame, evl: DataFrame, order: str = "fileid") -> DataFrame:
+    """fileId and Age with one decimal, dev rows before evl rows, either in the order of the column `order`: the place of each result where there is one."""
+    part = lambda df, o: df.select(F.lit(o).alias("_o"), F.col(order).alias("_place"), F.col("fileid").cast("string").alias("fileId"), one_decimal(F.col("hyp")).alias("Age"))
+    return part(dev, 0).unionByName(part(evl, 1)).orderBy("_o", "_place").select("fileId", "Age")
 
 
-def one_decimal(c):
-    """As '%.1f': the decimal expansion of the double, ties to even."""
-    return F.format_string("%.1f", F.bround(c.cast("double"), 1))
+def one_decimal(c: Column) -> Column:
+    """As Python's '%.1f': the binary value itself is rounded, so 0.15, a little less than that, gives 0.1. JVM formats round its decimal string."""
+    @F.pandas_udf("string")
+    def formatted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda v: None if v is None else f"{v:.1f}").astype(object)
+
+    return F.when(c.isNull(), None).when(F.isnan(c.cast("double")), "nan").otherwise(formatted(c.cast("double")))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -84,8 +90,6 @@ def wav_bytes(samples: list[float], rate: int = 16_000) -> bytes:
 
 def wav_column(df: DataFrame, samples: str, rate: int = 16_000) -> DataFrame:
     """df with a column wav that holds the file's bytes."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
