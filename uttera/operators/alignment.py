@@ -2,8 +2,8 @@
 
 The distances from all prefixes of one text to the whole of the other come from the bit-parallel recurrence (two integers hold the steps of
 a column). Divide and conquer halves the hypothesis, takes such a column from the front and one from the back, cuts the reference where their
-sum is least, and goes on with both parts; small parts are traced back in a table. So a text of n words costs twice the time of its distance and
-memory in proportion to n.
+sum is least, and goes on with both parts; parts whose steps fit in TABLE bits keep them all and are traced back. So a text of n words costs at most
+about twice the time of its distance, and memory in proportion to n.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a part that is traced back in a table.
-TABLE = 2_048
+#: Pairs of words of a part that is traced back from its stored steps, two bits each.
+TABLE = 16_000_000
 MATCH, SUBSTITUTION, DELETION, INSERTION = "match", "substitution", "deletion", "insertion"
 
 
-def column(ref: list, hyp: list) -> np.ndarray:
-    """Distances of the prefixes of ref, the empty one first, to the whole of hyp."""
+def _columns(ref: list, hyp: list) -> Iterator[tuple[int, int]]:
+    """After each word of hyp: the prefixes of ref, as bits, that cost one more than the prefix before them, and those that cost one less. ref isn't empty."""
     n, at = len(ref), {}
-    if not n:
-        return np.array([len(hyp)])
     for i, w in enumerate(ref):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << n) - 1
@@ -36,28 +34,32 @@ def column(ref: list, hyp: list) -> np.ndarray:
         right, left = down | (full & ~(diagonal | up)), up & diagonal
         right, left = (right << 1 | 1) & full, (left << 1) & full
         up, down = left | (full & ~(diagonal | right)), right & diagonal
+        yield up, down
+
+
+def column(ref: list, hyp: list) -> np.ndarray:
+    """Distances of the prefixes of ref, the empty one first, to the whole of hyp."""
+    n = len(ref)
+    if not n or not hyp:
+        return np.arange(n + 1) + len(hyp)
+    for up, down in _columns(ref, hyp):
+        pass
     bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n].astype(np.int64)
     return np.concatenate([[len(hyp)], len(hyp) + np.cumsum(bits(up) - bits(down))])
 
 
 def _traced(ref: list, hyp: list, i0: int, j0: int) -> list[tuple[int, int]]:
-    """Matched and replaced pairs of positions of a small part, from its whole table; a pair before a deletion before an insertion."""
-    n, m = len(ref), len(hyp)
-    table = [list(range(m + 1))]
-    for i, w in enumerate(ref, 1):
-        last, row = table[-1], [i]
-        for j, v in enumerate(hyp, 1):
-            row.append(min(last[j - 1] + (w != v), last[j] + 1, row[-1] + 1))
-        table.append(row)
-    out, i, j = [], n, m
+    """Matched and replaced pairs of positions of a part, from all its columns."""
+    columns = list(_columns(ref, hyp))
+    out, i, j = [], len(ref), len(hyp)
     while i and j:
-        if table[i][j] == table[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i0 + i, j0 + j))
-        elif table[i][j] == table[i - 1][j] + 1:
+        if columns[j - 1][0] >> (i - 1) & 1:  # the prefix without this word is nearer: it is deleted
             i -= 1
-        else:
+        elif j > 1 and columns[j - 2][1] >> (i - 1) & 1:  # it was nearer before this word came: it is inserted
             j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i0 + i, j0 + j))
     return out[::-1]
 
 

@@ -1,11 +1,10 @@
-"""Estimators: diagonal Gaussian mixtures, ridge, boosted trees, small MLPs, residual hybrids."""
+"""Estimators: diagonal Gaussian mixtures, ridge, boosted trees, residual hybrids. Grid search and support vectors: linear; perceptrons: mlp."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -57,79 +56,11 @@ def ridge(df: DataFrame, vec: str, target: str, alpha: float) -> LinearRegressio
     return LinearRegression(featuresCol="x", labelCol="y", solver="normal", standardization=False, regParam=reg).fit(rows)
 
 
-def ridge_grid(df: DataFrame, vec: str, target: str, fold: str, alphas: list[float], folds: int) -> DataFrame:
-    """Mean absolute error of each alpha over the folds' held-out rows."""
-    out = None
-    for alpha in alphas:
-        for k in range(folds):
-            model = ridge(df.where(F.col(fold) != k), vec, target, alpha)
-            held = df.where(F.col(fold) == k).select(array_to_vector(F.col(vec).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y"))
-            part = model.transform(held).select(F.lit(alpha).alias("alpha"), F.abs(F.col("prediction") - F.col("y")).alias("e"))
-            out = part if out is None else out.unionAll(part)
-    return out.groupBy("alpha").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
-
-
 def boosted(df: DataFrame, vec: str, target: str, trees: int = 10, depth: int = 3):
     rows = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y"))
     return GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, seed=42).fit(rows)
 
 
-def mlp_fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: int, seed: int, lr: float = 1e-2, epochs: int = 60, patience: int = 10) -> list[tuple[int, float, float]]:
-    """One hidden layer, Adam, early stop on the held-out error: (epoch, train loss, held-out MAE)."""
-    rng = np.random.default_rng(seed)
-    mean, std = y.mean(), max(float(y.std()), 1e-6)
-    t = (y - mean) / std
-    p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    step, best, bad, out = 0, float("inf"), 0, []
-    for epoch in range(epochs):
-        order, losses = rng.permutation(len(x)), []
-        for i in range(0, len(x), 64):
-            b = order[i : i + 64]
-            h = np.maximum(0, x[b] @ p[0] + p[1])
-            e = h @ p[2] + p[3] - t[b]
-            losses.append(float((e**2).mean()))
-            ge = 2 * e / len(b)
-            gh = np.outer(ge, p[2]) * (h > 0)
-            grads = [x[b].T @ gh, gh.sum(0), h.T @ ge, np.array([ge.sum()])]
-            step += 1
-            for k, g in enumerate(grads):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        mae = float(np.abs((np.maximum(0, xv @ p[0] + p[1]) @ p[2] + p[3]) * std + mean - yv).mean())
-        out.append((epoch, float(np.mean(losses)), mae))
-        if mae < best - 1e-4:
-            best, bad = mae, 0
-        else:
-            bad += 1
-            if bad >= patience:
-                break
-    return out
-
-
-def mlp_sweep(df: DataFrame, vec: str, target: str, configs: list[tuple[int, int]], sample: int = 20_000) -> DataFrame:
-    """History of each (hidden, seed), one task each, on at most `sample` rows: run_id, hidden, seed, epoch, train_loss, dev_mae.
-
-    Every configuration trains on the whole bounded sample, which travels with it.
-    """
-    rows = df.orderBy(F.xxhash64(vec)).limit(sample).select(F.col(vec).alias("v"), F.col(target).cast("double").alias("y")).toPandas()
-    x, y = np.array(rows["v"].tolist(), float), rows["y"].to_numpy(float)
-    data = df.sparkSession.sparkContext.broadcast((x, y))
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = data.value
-        held = np.arange(len(y)) % 5 == 0
-        out = []
-        for r in pdf.itertuples():
-            for epoch, loss, mae in mlp_fit(x[~held], y[~held], x[held], y[held], int(r.hidden), int(r.seed)):
-                out.append((f"h{r.hidden}_s{r.seed}", r.hidden, r.seed, epoch, loss, mae))
-        return pd.DataFrame(out, columns=["run_id", "hidden", "seed", "epoch", "train_loss", "dev_mae"])
-
-    grid = df.sparkSession.createDataFrame(configs, "hidden long, seed long")
-    return grid.groupBy("hidden", "seed").applyInPandas(train, "run_id string, hidden long, seed long, epoch long, train_loss double, dev_mae double")
-
-
 def fourier_features(x, dims: int, n: int = 64, gamma: float = 1.0, seed: int = 7):
     """Random Fourier features of an array column: ridge on them approximates a regression with an RBF kernel."""
     rng = np.random.default_rng(seed)

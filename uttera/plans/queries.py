@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
 from uttera.functions import text as T
-from uttera.operators import alignment, dsp, evaluation, intervals, models, sampling
+from uttera.operators import alignment, dsp, evaluation, intervals, linear, mlp, models, sampling
 from uttera.sources import readers
 from uttera.sources.sinks import submission
 from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
@@ -815,8 +815,34 @@ def ridge_fit(spark, sf_dir):
 
 @query()
 def ridge_grid_cv(spark, sf_dir):
-    folds = sampling.kfold(_ages(spark, sf_dir), "fileid", 3).cache()
-    return models.ridge_grid(folds, "x", "age", "fold", [0.1, 10.0], 3)
+    """Held-out errors of a grid on scaled dimensions, in two passes over all rows, and which alpha is refitted."""
+    folds = sampling.kfold(_ages(spark, sf_dir), "fileid", 3)
+    return linear.ridge_search(folds, "x", "age", "fold", [0.01, 0.1, 1.0, 10.0, 100.0], 3, scale=True).frame(spark)
+
+
+def _split(spark, sf_dir):
+    """Vectors with an age and a class that depend on them, less noise by the label (the labels themselves have nothing to do with the vectors); a fifth of the rows, by a hash of the id, is dev."""
+    x, noise = lambda i: F.col("x")[i], F.col("label") - 4.5
+    age, kind = 45 + 60 * x(0) + 80 * F.abs(x(1)) + noise * 0.5, F.when(x(2) + x(3) + noise * 0.01 > 0, "F").otherwise("M")
+    split = F.when(F.substring(sampling.order_key(F.col("fileid")), 1, 2) < "33", "dev").otherwise("train")
+    return frames(spark, sf_dir).withColumns({"age": age, "gender": kind, "split": split})
+
+
+@query()
+def svr_linear(spark, sf_dir):
+    """Ages by a linear support vector regression behind a scaler, fitted on the training rows, predicted for all."""
+    rows = _split(spark, sf_dir)
+    m = linear.svm(rows.where("split = 'train'"), "x", F.col("age"), "svr", scale=True)
+    return rows.select("fileid", "split", F.col("age").alias("ref"), r6(m.model.column(F.col("x"))).alias("hyp"))
+
+
+@query()
+def svc_linear(spark, sf_dir):
+    """Two classes by a linear support vector machine, fitted on the training rows, predicted for all."""
+    rows = _split(spark, sf_dir).withColumnRenamed("gender", "ref")
+    m = linear.svm(rows.where("split = 'train'"), "x", F.when(F.col("ref") == "F", 1).otherwise(-1), "svc")
+    score = m.model.column(F.col("x"))
+    return rows.select("fileid", "split", "ref", r6(score).alias("score"), F.when(score > 0, "F").otherwise("M").alias("hyp"))
 
 
 @query()
@@ -828,12 +854,24 @@ def gbt_fit(spark, sf_dir):
     return m.transform(a.select("fileid", "age", array_to_vector("x").alias("x"))).select("fileid", "age", F.col("prediction").alias("hyp"))
 
 
+_RUNS = [mlp.Config(16, 1), mlp.Config(16, 2, schedule="plateau"), mlp.Config(32, 1, schedule="cosine")]
+
+
 @query()
 def mlp_sweep(spark, sf_dir):
-    runs = models.mlp_sweep(_ages(spark, sf_dir), "x", "age", [(16, 1), (16, 2), (32, 1)], 2_000)
+    """Best held-out error, its epoch and the stop of each run, trained on all training rows."""
+    runs = spark.createDataFrame(mlp.train(_split(spark, sf_dir), "fileid", "x", "age", F.col("split") == "dev", _RUNS)[1], mlp.HISTORY)
     return evaluation.early_stop(runs, ["run_id"], "epoch", "dev_mae", 1e-4, 10)
 
 
+@query()
+def mlp_predictions(spark, sf_dir):
+    """The mean prediction of two seeds' best states for every row."""
+    rows = _split(spark, sf_dir)
+    found, _ = mlp.train(rows, "fileid", "x", "age", F.col("split") == "dev", [mlp.Config(16, seed, schedule="plateau") for seed in (1, 2)])
+    return rows.select("fileid", "split", F.col("age").alias("ref"), r6(mlp.predicted(F.col("x"), found)).alias("hyp"))
+
+
 @query()
 def residual_hybrid(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
