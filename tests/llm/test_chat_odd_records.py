@@ -17,14 +17,16 @@ def test_odd_records(spark):
         [1, 2],
         {},
         {"messages": "text"},
+        {"messages": [{"role": "user"}, {"content": "x"}]},
+        {"messages": [{"role": "user", "content": "x"}, {"role": "user"}]},
     ]
-    texts = [json.dumps(r) for r in records] + ["{broken", "", None]
+    texts = [json.dumps(r) for r in records] + ["{broken", "", None, "[" * 100_000, '{"messages":' * 50_000, '{"a":' * 900 + "1" + "}" * 900]
     df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, segment long, record string").coalesce(1)
     pieces = chat.format_records(df)
     got = {r.conv_id: r for r in pieces.collect()}
     assert [chat.parsed(got[k].formatted) for k in range(4)] == [[("user", ""), ("assistant", "a")], [("", "x")], [("user", "p"), ("assistant", "")], [("system", "i"), ("user", ""), ("assistant", "o")]]
     assert all(got[k].formatted is None and got[k].error for k in range(4, len(texts))) and not any(got[k].error for k in range(4))
-    assert [r.n_turns for r in sorted(chat.read_back(pieces).collect())] == [2, 1, 2, 3] + [0] * 7
+    assert [r.n_turns for r in sorted(chat.read_back(pieces).collect())] == [2, 1, 2, 3] + [0] * 12
 
 
 def test_null_and_missing_input_differ():

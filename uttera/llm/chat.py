@@ -13,7 +13,7 @@ conversation are therefore sorted into one task, which streams them through hash
 
 Defined cases: null text or role counts as empty. Rows are ordered by turn, then role, then text, nulls first; repeated rows
 stay. Rows without a conversation id form one conversation. Empty tables give empty results. A record whose texts or roles are null
-has the layout that it would have with strings, and nulls count as empty. A record in no known layout, or that is no JSON, ends no
+has the layout that it would have with strings, and nulls count as empty. A record in no known layout, with a turn that lacks a field, nested too deep to be read, or that is no JSON, ends no
 job: its formatted text is null and the reason stands in the column error; read_back() counts no turns for it.
 """
 
@@ -104,6 +104,8 @@ def canonical(record: dict, known: dict[str, dict]) -> list[tuple[str, str]]:
         turns = record
         for part in m["list"].split("."):
             turns = turns[part]
+        if any(t.keys() != {m["role"], m["text"]} for t in turns):  # the paths of all members together are the layout's, those of one aren't
+            raise ValueError("a turn lacks a field")
         return [(m.get("roles", {}).get(t[m["role"]], t[m["role"]]) or "", t[m["text"]] or "") for t in turns]
     return [(role, record[field] or "") for field, role in m["fields"] if field in record]
 
@@ -185,7 +187,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 text, mask = formatted(canonical(json.loads(record or ""), known))
                 out.append((conv_id, segment, text, mask, None))
-            except ValueError as e:
+            except (ValueError, RecursionError) as e:
                 out.append((conv_id, segment, None, [], str(e)))
         yield _batch(out, _PIECES)
 
@@ -240,11 +242,3 @@ def read_back(pieces: DataFrame) -> DataFrame:
 def format_turns(turns: DataFrame) -> DataFrame:
     """Turn rows to records, formatted, read back."""
     return read_back(format_records(records(turns)))
-
-
-def escaped_sql(text: str) -> str:
-    """The escape as nested replace(), for SQL."""
-    out = f"replace({text}, '\\', '\\\\')"
-    for c in CONTROL:
-        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
-    return out

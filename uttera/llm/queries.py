@@ -140,6 +140,9 @@ SELECT page_id, n AS payload_bytes, q.d AS payload_digest,
 FROM q LEFT JOIN f ON q.d = f.d
 """
 
+#: A turn's marks have 24 characters; a backslash and each control string in a text cost one more.
+_ESCAPED = r"length({c}) + length({c}) - length(replace({c}, '\', '')) + len(regexp_extract_all({c}, '<\|(turn|text|end|im_start|im_end|endoftext|startoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>'))"
+
 OP2_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -149,7 +152,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(chat.TURN + chat.MID + chat.END)} + length({chat.escaped_sql("role")}) + length({chat.escaped_sql("text")})) AS BIGINT) AS formatted_chars
+  CAST(sum(24 + {_ESCAPED.format(c="role")} + {_ESCAPED.format(c="text")}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
 
