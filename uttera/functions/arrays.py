@@ -168,3 +168,11 @@ def gaussian_log_density(x: Column, means: list[float], variances: list[float])
     const = -0.5 * sum(math.log(2 * math.pi * v) for v in variances)
     m, v = F.array(*[F.lit(float(i)) for i in means]), F.array(*[F.lit(float(i)) for i in variances])
     return const - 0.5 * total(F.zip_with(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), v, lambda d, s: d / s))
+
+
+def masked_mean(frames: Column, mask: Column) -> Column:
+    """Mean of the frames (arrays of one length) whose mask is not 0, dimension by dimension; zeros where there is none."""
+    kept = F.filter(F.zip_with(frames, mask, lambda f, m: F.struct(f.alias("f"), m.alias("m"))), lambda p: p["m"] != 0)
+    zeros = F.transform(F.get(frames, F.lit(0)), lambda v: F.lit(0.0))
+    sums = F.aggregate(kept, zeros, lambda s, p: F.zip_with(s, p["f"], lambda a, b: a + b))
+    return let(F.greatest(F.size(kept), F.lit(1)), lambda n: F.transform(sums, lambda v: v / n))

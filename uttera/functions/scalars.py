@@ -55,6 +55,11 @@ def latency_verdict(seconds: Column) -> Column:
     return F.when(seconds < 2, "interactive").otherwise("batch-only")
 
 
+def intelligibility(wer: Column) -> Column:
+    """What a word error rate of speech that was made and transcribed again says of the speech."""
+    return F.when(wer <= 0.1, "excellent").when(wer <= 0.2, "acceptable").when(wer < 0.5, "poor").otherwise("unintelligible")
+
+
 def language_of(model: Column, language: Column) -> Column:
     """English-only models transcribe as English."""
     return F.when(F.contains(model, F.lit("distil")), "en").otherwise(language)

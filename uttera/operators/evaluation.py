@@ -114,3 +114,20 @@ def quantile_bins(df: DataFrame, value: str, q: int) -> DataFrame:
     edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("_e"))
     rows = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))  # one row
     return rows.withColumn("bin", F.greatest(F.lit(0), F.size(F.filter("_e", lambda e: e < F.col(value))) - 1)).drop("_e")
+
+
+def fold_statistics(df: DataFrame, fold: str, value: str, folds: int) -> DataFrame:
+    """fold, n, mean, std of the value over the rows outside each fold (std of the population; under 1e-6 it is 1): what its held-out rows are scaled by.
+
+    One aggregation: a fold's statistics are the sums of all less its own, around a centre that keeps them exact.
+    """
+    centre = df.agg(F.avg(value).alias("c")).first()["c"] or 0.0
+    d = F.col(value) - F.lit(float(centre))
+    own = df.where(F.col(value).isNotNull()).groupBy(F.col(fold).alias("fold")).agg(F.count(value).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+    spine = df.sparkSession.range(folds).select(F.col("id").alias("fold"))
+    total = own.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))  # one row
+    rows = spine.join(F.broadcast(own), "fold", "left").crossJoin(F.broadcast(total))  # a row a fold
+    rest = rows.select("fold", *[(F.col(f"t{k}") - F.coalesce(k, F.lit(0))).alias(k) for k in ("n", "s", "q")])
+    mean = F.try_divide("s", "n")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", "n") - mean * mean))
+    return rest.select("fold", "n", (mean + float(centre)).alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"))

@@ -614,7 +614,7 @@ def word_confusions(spark, sf_dir):
 
 
 _QA = f"""WITH {TURNS_SQL}, q AS (SELECT conv_id, turn, {_TOK("answer")} AS a FROM turns), g AS (SELECT conv_id, turn, a AS g, CASE turn % 3 WHEN 0 THEN a WHEN 1 THEN ['well'] || a || ['indeed'] ELSE a[4:] END AS p FROM q),
-sc AS (SELECT conv_id, turn, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CASE WHEN contains(array_to_string(p, ' '), array_to_string(g, ' ')) THEN 1 ELSE 0 END AS em_contains,
+sc AS (SELECT conv_id, turn, len(g) AS n_gold, abs(len(g) - len(p)) AS edits, CASE WHEN g = p THEN 1 ELSE 0 END AS em_strict, CASE WHEN contains(array_to_string(p, ' '), array_to_string(g, ' ')) THEN 1 ELSE 0 END AS em_contains,
   CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1.0 WHEN len(g) = 0 OR len(p) = 0 THEN 0.0 ELSE
    2.0 * coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))), 0) / (len(g) + len(p)) END AS f1 FROM g)"""
 
@@ -625,22 +625,92 @@ def _qa(spark, sf_dir):
     more, rest = F.concat(F.array(F.lit("well")), "a", F.array(F.lit("indeed"))), F.filter("a", lambda w, i: i >= 3)
     a = a.select("conv_id", "turn", F.col("a").alias("g"), F.when(F.col("turn") % 3 == 0, F.col("a")).when(F.col("turn") % 3 == 1, more).otherwise(rest).alias("p"))
     return a.select(
-        "conv_id", "turn", F.when(F.col("g") == F.col("p"), 1).otherwise(0).alias("em_strict"),
+        "conv_id", "turn", F.size("g").alias("n_gold"), dsp.translation_edits_column(F.col("g"), F.col("p")).alias("edits"), F.when(F.col("g") == F.col("p"), 1).otherwise(0).alias("em_strict"),
         F.when(F.contains(F.array_join("p", " "), F.array_join("g", " ")), 1).otherwise(0).alias("em_contains"), T.token_f1(F.col("g"), F.col("p")).alias("f1"),
     )
 
 
 @query(_QA + " SELECT conv_id, turn, em_strict, em_contains, round(f1, 6) AS f1 FROM sc")
 def em_f1_turns(spark, sf_dir):
-    return _qa(spark, sf_dir).withColumn("f1", r6(F.col("f1")))
+    return _qa(spark, sf_dir).drop("n_gold", "edits").withColumn("f1", r6(F.col("f1")))
 
 
-@query(_QA + " SELECT coalesce(conv_id, -1) AS conv_id, count(*) AS turns, CAST(sum(em_strict) AS BIGINT) AS em, CAST(sum(em_contains) AS BIGINT) AS em_contains, round(avg(f1), 6) AS f1 FROM sc GROUP BY ROLLUP (conv_id)")
+@query(_QA + " SELECT coalesce(conv_id, -1) AS conv_id, count(*) AS turns, CAST(sum(em_strict) AS BIGINT) AS em, CAST(sum(em_contains) AS BIGINT) AS em_contains, round(avg(f1), 6) AS f1, round(100.0 * sum(edits) / nullif(sum(n_gold), 0), 6) AS ter FROM sc GROUP BY ROLLUP (conv_id)")
 def em_f1_rollup(spark, sf_dir):
-    g = _qa(spark, sf_dir).rollup("conv_id").agg(F.count("*").alias("turns"), F.sum("em_strict").alias("em"), F.sum("em_contains").alias("em_contains"), r6(F.avg("f1")).alias("f1"))
+    """Scores of each conversation and of all. The predictions only gain or lose words, so that SQL knows their edits from the lengths."""
+    g = _qa(spark, sf_dir).rollup("conv_id").agg(F.count("*").alias("turns"), F.sum("em_strict").alias("em"), F.sum("em_contains").alias("em_contains"), r6(F.avg("f1")).alias("f1"), r6(100.0 * F.try_divide(F.sum("edits"), F.sum("n_gold"))).alias("ter"))
     return g.withColumn("conv_id", F.coalesce("conv_id", F.lit(-1)))
 
 
+_CONFIGS = [(model, shots) for model in (1, 2) for shots in (0, 1, 3)]
+
+
+@query(f"""WITH {TURNS_SQL}, q AS (SELECT model, shots, {_TOK("answer")} AS g FROM turns, (VALUES {", ".join(map(str, _CONFIGS))}) AS c(model, shots)),
+g AS (SELECT model, shots, g, CASE WHEN len(g) % (shots + 2) = 0 THEN g ELSE list_transform(list_filter(list_zip(g, range(1, len(g) + 1)), lambda z: z[2] % (model + 1) > 0), lambda z: z[1]) END AS p FROM q),
+sc AS (SELECT model, shots, CASE WHEN g = p THEN 1 ELSE 0 END AS em, CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1.0 WHEN len(g) = 0 OR len(p) = 0 THEN 0.0 ELSE
+  2.0 * coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))), 0) / (len(g) + len(p)) END AS f1 FROM g),
+a AS (SELECT model, shots, count(*) AS n, CAST(sum(em) AS BIGINT) AS em, avg(f1) AS f1 FROM sc GROUP BY model, shots)
+SELECT CAST(model AS BIGINT) AS model, CAST(shots AS BIGINT) AS shots, n, em, round(100.0 * em / n, 6) AS em_pct, round(f1, 6) AS f1, row_number() OVER (ORDER BY em DESC, round(f1, 6) DESC, model, shots) AS place FROM a""")
+def em_f1_by_config(spark, sf_dir):
+    """Exact matches and F1 of each model and number of shots, the best first: each model drops words of its own, more shots leave fewer answers whole."""
+    configs = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("model"), F.lit(s).cast("long").alias("shots")) for m, s in _CONFIGS]))
+    q = turn_pairs(spark, sf_dir).select(T.tokens(F.col("answer")).alias("g"), configs.alias("c")).select("g", "c.*")
+    part = F.expr("filter(g, (w, i) -> (i + 1) % (model + 1) > 0)")
+    q = q.withColumn("p", F.when(F.size("g") % (F.col("shots") + 2) == 0, F.col("g")).otherwise(part))
+    g = q.groupBy("model", "shots").agg(F.count("*").alias("n"), F.sum(F.when(F.col("g") == F.col("p"), 1).otherwise(0)).alias("em"), r6(F.avg(T.token_f1(F.col("g"), F.col("p")))).alias("f1"))
+    place = F.row_number().over(Window.orderBy(F.desc("em"), F.desc("f1"), "model", "shots"))  # a row a configuration
+    return g.select("model", "shots", "n", "em", r6(100.0 * F.col("em") / F.col("n")).alias("em_pct"), "f1", place.cast("long").alias("place"))
+
+
+_VOICES = [("tts_a", "asr_large", 40, 30), ("tts_a", "asr_small", 20, 30), ("tts_b", "asr_large", 9, 25), ("tts_b", "asr_small", 5, 6), ("tts_c", "asr_large", 2, 3)]
+
+
+@query(f"""WITH {TURNS_SQL}, q AS (SELECT tts, asr, d, r, {_TOK("answer")} AS w FROM turns, (VALUES {", ".join(map(str, _VOICES))}) AS v(tts, asr, d, r)),
+e AS (SELECT tts, asr, len(w) AS n, len(list_filter(range(1, len(w) + 1), lambda i: i % d = 0 OR i % r = 0)) AS e FROM q),
+a AS (SELECT tts, asr, CAST(sum(n) AS BIGINT) AS n_ref, CAST(sum(e) AS BIGINT) AS edits, sum(e) / sum(n) AS wer FROM e GROUP BY tts, asr)
+SELECT tts, asr, n_ref, edits, round(wer, 6) AS wer, CASE WHEN wer <= 0.1 THEN 'excellent' WHEN wer <= 0.2 THEN 'acceptable' WHEN wer < 0.5 THEN 'poor' ELSE 'unintelligible' END AS verdict FROM a""")
+def roundtrip_wer(spark, sf_dir):
+    """Word error rate of texts that were spoken and transcribed again, pooled by voice and recogniser: each pair loses every d-th word and hears every r-th wrong."""
+    voices = F.explode(F.array(*[F.struct(F.lit(t).alias("tts"), F.lit(a).alias("asr"), F.lit(d).alias("d"), F.lit(r).alias("r")) for t, a, d, r in _VOICES]))
+    q = turn_pairs(spark, sf_dir).select(T.tokens(F.col("answer")).alias("w"), voices.alias("v")).select("w", "v.*")
+    heard = F.expr("transform(filter(transform(w, (x, i) -> struct(x, i + 1 AS i)), p -> p.i % d > 0), p -> if(p.i % r = 0, '?', p.x))")
+    q = q.select("tts", "asr", F.size("w").alias("n"), dsp.edit_distance_column(F.col("w"), heard).alias("e"))
+    g = q.groupBy("tts", "asr").agg(F.sum("n").alias("n_ref"), F.sum("e").alias("edits"))
+    wer = F.try_divide("edits", "n_ref")
+    return g.select("tts", "asr", "n_ref", "edits", r6(wer).alias("wer"), S.intelligibility(wer).alias("verdict"))
+
+
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT fileid, x, fileid % 17 AS n FROM fr)
+SELECT fileid, CAST(n AS INTEGER) AS n_frames, list_transform(range(1, 5), lambda d: round(coalesce(list_sum(list_transform(range(0, n), lambda t: x[t * 4 + d])), 0) / greatest(n, 1), 6)) AS pooled FROM m""")
+def masked_mean_pool(spark, sf_dir):
+    """Each vector as 16 frames of 4, of which the first few are no padding."""
+    n = (F.col("fileid") % 17).cast("int")
+    x = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.slice("x", t * 4 + 1, 4))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.when(t < n, 1).otherwise(0))
+    return frames(spark, sf_dir).select("fileid", n.alias("n_frames"), F.transform(A.masked_mean(x, mask), lambda v: r6(v)).alias("pooled"))
+
+
+@query(f"""WITH {UTT_SQL}, f AS (SELECT age, (row_number() OVER (ORDER BY md5(CAST(fileid AS VARCHAR) || '|42'), fileid) - 1) % 5 AS fold FROM man),
+s AS (SELECT k.fold, count(age) AS n, avg(age) AS m, CASE WHEN stddev_pop(age) < 1e-6 THEN 1 ELSE stddev_pop(age) END AS d FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY k.fold)
+SELECT fold, s.n AS n_train, round(m, 6) AS mean, round(d, 6) AS std, count(age) AS n_held, round(avg((age - m) / d), 6) AS held_mean, round(stddev_pop((age - m) / d), 6) AS held_std FROM f JOIN s USING (fold) GROUP BY fold, s.n, m, d""")
+def fold_target_statistics(spark, sf_dir):
+    """Targets scaled by the statistics of the other folds alone."""
+    rows = sampling.kfold(utterances(spark, sf_dir), "fileid", 5).select("age", F.col("fold").cast("long").alias("fold"))
+    s = evaluation.fold_statistics(rows, "fold", "age", 5)
+    z = S.z_scored(F.col("age"), F.col("mean"), F.col("std"))
+    g = rows.join(F.broadcast(s), "fold").groupBy("fold", "n", "mean", "std").agg(F.count("age").alias("n_held"), F.avg(z).alias("a"), F.stddev_pop(z).alias("b"))
+    return g.select("fold", F.col("n").alias("n_train"), r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "n_held", r6(F.col("a")).alias("held_mean"), r6(F.col("b")).alias("held_std"))
+
+
+@query(f"""WITH {UTT_SQL}, {FRAMES_SQL}, p AS (SELECT fileid, age_raw, CASE fileid % 10 WHEN 0 THEN 'evl' WHEN 1 THEN 'dev' ELSE 'train' END AS partition FROM man WHERE fileid % 50 > 0 OR fileid % 10 = 0)
+SELECT p.partition, p.fileid, len(x) AS dims, CASE WHEN p.partition <> 'evl' THEN CAST(age_raw AS FLOAT) END AS age FROM p JOIN fr USING (fileid)""")
+def partition_features(spark, sf_dir):
+    """Features of train, dev and evl with their ages, evl without, whatever its manifest says."""
+    part = F.when(F.col("fileid") % 10 == 0, "evl").when(F.col("fileid") % 10 == 1, "dev").otherwise("train")
+    manifest = utterances(spark, sf_dir).select(part.alias("partition"), "fileid", F.col("age_raw").alias("age"))
+    return readers.partitions(manifest, frames(spark, sf_dir).select("fileid", F.size("x").cast("long").alias("dims"))).select("partition", "fileid", "dims", "age")
+
+
 @query(f"""WITH {TURNS_SQL} SELECT conv_id, turn, md5(answer) AS ref, md5(lead(question) OVER (PARTITION BY conv_id ORDER BY turn)) AS shifted FROM turns""")
 def shift_alignment(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")

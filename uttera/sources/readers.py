@@ -172,3 +172,15 @@ def with_features(rows: DataFrame, features: DataFrame, path: str = "abs_path")
     """Manifest rows joined to features (fileid, vec, ...) by the base name of their path without its .wav ending."""
     name = fileid_suffix(F.element_at(F.split(path, "/"), -1))
     return rows.withColumn("fileid", name).join(features, "fileid")
+
+
+def partitions(manifest: DataFrame, features: DataFrame, unlabelled: tuple[str, ...] = ("evl",), key: str = "fileid") -> DataFrame:
+    """Features of all partitions in one table: partition, fileid, the features' columns, age as a float, null on unlabelled partitions whatever stands there.
+
+    manifest: partition, fileid, age (text or number). A labelled partition's age that is no number raises when its row is read.
+    """
+    known = ~F.col("partition").isin(*unlabelled) if unlabelled else F.lit(True)
+    age = F.when(known, F.col("age").cast("string").try_cast("float"))
+    wrong = F.concat(F.lit("no age: "), F.col(key).cast("string"))
+    rows = manifest.select("partition", key, age.alias("age"), F.assert_true(~known | age.isNotNull(), wrong).alias("_ok"))
+    return rows.where("_ok is null").drop("_ok").join(features, key)
