@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
-from uttera.operators import dsp, evaluation, intervals, models, sampling
+from uttera.operators import audio, dsp, evaluation, intervals, models, sampling
 from uttera.session import ship
 from uttera.sources import readers, sinks
 
@@ -121,9 +121,9 @@ def test_signals(spark):
     assert int(p.mean(0).argmax()) == 32
     assert dsp.mfcc(np.zeros(100)).shape == (1, 13)
     wav = sinks.wav_bytes([0.5, -0.5, 0.0] * 100)
-    assert np.allclose(dsp.decoded(wav)[:3], [0.5, -0.5, 0.0], atol=1e-3)
+    assert np.allclose(audio.decoded(wav)[:3], [0.5, -0.5, 0.0], atol=1e-3)
     ship(spark)
-    df = spark.createDataFrame([(wav,)], "wav binary").select(dsp.decoded_column(F.col("wav")).alias("x"))
+    df = spark.createDataFrame([(wav,)], "wav binary").select(audio.decoded_column(F.col("wav")).alias("x"))
     assert len(df.first().x) == 300
 
 

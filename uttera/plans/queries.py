@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
 from uttera.functions import text as T
-from uttera.operators import alignment, dsp, evaluation, intervals, linear, mlp, models, sampling
+from uttera.operators import alignment, audio, dsp, evaluation, intervals, linear, mlp, models, sampling
 from uttera.sources import readers
-from uttera.sources.sinks import submission
+from uttera.sources.sinks import submission, wav_column
 from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -979,6 +979,28 @@ def spectrogram(spark, sf_dir):
     return _tones(spark, sf_dir).select("vec_id", "hz", dsp.spectrogram_column(F.col("wave")).alias("db")).select("vec_id", "hz", F.size("db").alias("frames"), (F.array_position(F.col("db")[0], F.array_max(F.col("db")[0])) - 1).alias("peak_bin"))
 
 
+@query()
+def acoustic_functionals(spark, sf_dir):
+    """Functionals of frame descriptors of each signal: the vector's length, its median pitch, its share of voiced frames and mean energy."""
+    v = _tones(spark, sf_dir).select("vec_id", "hz", audio.functionals_column(F.col("wave")).alias("v"))
+    at = {name: F.round(F.col("v")[i], 4).alias(name) for i, name in enumerate(audio.FEATURES)}
+    return v.select("vec_id", "hz", F.size("v").alias("n_features"), at["pitch_p50"], at["voiced_share"], at["energy_db_mean"], at["centroid_mean"], at["jitter"])
+
+
+@query()
+def audio_coercion(spark, sf_dir):
+    """Files of 22.05 kHz (a third of them 16 kHz already) brought to 16 kHz PCM16 mono: sizes, whether a file stayed as it was, and the level that is left."""
+    tones = _tones(spark, sf_dir).select("vec_id", F.transform("wave", lambda v: v * 0.5).alias("wave"))
+    rows = None
+    for rate, some in ((16_000, "vec_id % 3 = 0"), (22_050, "vec_id % 3 > 0")):
+        part = wav_column(tones.where(some), "wave", rate).withColumn("rate", F.lit(rate))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("out", audio.coerced_column(F.col("wav")))
+    x = audio.decoded_column(F.col("out"))
+    rows = rows.withColumn("x", x)
+    return rows.select("vec_id", "rate", F.length("wav").alias("bytes_in"), F.length("out").alias("bytes_out"), (F.col("wav") == F.col("out")).alias("unchanged"), F.round(F.sqrt(A.mean(F.transform("x", lambda v: v * v))), 3).alias("rms"))
+
+
 @query()
 def ter(spark, sf_dir):
     p = text_pairs(spark, sf_dir).select("doc_id", T.tokens(F.col("ref")).alias("r"), T.tokens(F.col("hyp")).alias("h"))
