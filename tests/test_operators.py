@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
-from uttera.operators import audio, dsp, evaluation, intervals, models, sampling
+from uttera.operators import audio, dsp, evaluation, intervals, kernels, models, sampling
 from uttera.session import ship
 from uttera.sources import readers, sinks
 
@@ -111,7 +111,7 @@ def test_ridge_equals_closed_form(spark):
 def test_gmm_separates(spark):
     rng = np.random.default_rng(0)
     rows = [(rng.normal(c, 0.1, 2).tolist(),) for c in (0, 3) for _ in range(40)]
-    model = models.gmm_fit(spark.createDataFrame(rows, "v array<double>"), "v", 2, 8)
+    model = kernels.gmm_fit(spark.createDataFrame(rows, "v array<double>"), "v", 2, 8)
     assert sum(w for w, _, _ in model) == pytest.approx(1) and all(v > 0 for _, _, s in model for v in s)
 
 

@@ -1,4 +1,4 @@
-"""Estimators: diagonal Gaussian mixtures, ridge, boosted trees, residual hybrids. Grid search and support vectors: linear; perceptrons: mlp."""
+"""Estimators: scores under mixtures, ridge, boosted trees, random features. Mixtures and kernels: kernels; grid search and support vectors: linear; perceptrons: mlp."""
 
 from __future__ import annotations
 
@@ -13,34 +13,6 @@ from pyspark.sql import functions as F
 from uttera.functions.arrays import gaussian_log_density
 
 
-def gmm_fit(df: DataFrame, vec: str, k: int = 4, rounds: int = 10, floor: float = 1e-3) -> list[tuple[float, list[float], list[float]]]:
-    """Diagonal Gaussian mixture by EM: (weight, means, variances) of each component.
-
-    Each round is one grouped aggregation over (component, dimension); only k * D sums reach the driver.
-    Starts are the k vectors first by a hash.
-    """
-    starts = [list(map(float, r["v"])) for r in df.select(F.col(vec).alias("v")).orderBy(F.xxhash64(vec)).limit(k).collect()]
-    dims = len(starts[0]) if starts else 0
-    model = [(1 / len(starts), m, [1.0 / max(1, dims)] * dims) for m in starts]
-    for _ in range(rounds):
-        x = F.col(vec).cast("array<double>")
-        logs = F.array(*[F.lit(math.log(max(w, 1e-12))) + gaussian_log_density(x, m, v) for w, m, v in model])
-        rows = df.select(x.alias("x"), logs.alias("l")).withColumn("top", F.array_max("l"))
-        rows = rows.withColumn("e", F.transform("l", lambda a: F.exp(a - F.col("top"))))
-        rows = rows.withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
-        resp = rows.select("x", F.posexplode(F.transform("e", lambda a: a / F.col("z"))).alias("c", "r"))
-        sums = resp.select("c", "r", F.posexplode("x").alias("d", "v")).groupBy("c", "d").agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("v")).alias("s"), F.sum(F.col("r") * F.col("v") * F.col("v")).alias("q")).collect()
-        r, s, q = (np.zeros((len(model), dims)) for _ in range(3))
-        for row in sums:
-            r[row["c"], row["d"]], s[row["c"], row["d"]], q[row["c"], row["d"]] = row["r"], row["s"], row["q"]
-        n = np.maximum(r, 1e-9)
-        mean = s / n
-        var = np.maximum(q / n - mean**2, floor)
-        weight = r[:, 0] / max(1e-9, r[:, 0].sum())
-        model = [(float(w), m.tolist(), v.tolist()) for w, m, v in zip(weight, mean, var, strict=True)]
-    return model
-
-
 def gmm_log_likelihood(x, model):
     """Log likelihood of a vector under a mixture, as a column."""
     logs = F.array(*[F.lit(math.log(max(w, 1e-12))) + gaussian_log_density(x, m, v) for w, m, v in model])

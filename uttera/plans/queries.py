@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
 from uttera.functions import text as T
-from uttera.operators import alignment, audio, dsp, evaluation, intervals, linear, mlp, models, sampling
+from uttera.operators import alignment, audio, dsp, evaluation, intervals, kernels, linear, mlp, models, sampling
 from uttera.sources import readers
 from uttera.sources.sinks import submission, wav_column
 from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
@@ -866,7 +866,7 @@ def second_deltas(spark, sf_dir):
 @query()
 def gmm_fit(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("g", F.when(F.col("label") < 5, "F").otherwise("M"))
-    per = {g: models.gmm_fit(f.where(F.col("g") == g), "x", 2, 5) for g in ("F", "M")}
+    per = {g: kernels.gmm_fit(f.where(F.col("g") == g), "x", 4, 10) for g in ("F", "M")}
     llh = {g: models.gmm_log_likelihood(F.col("x"), m) for g, m in per.items()}
     scored = f.select("fileid", "g", llh["F"].alias("llh_f"), llh["M"].alias("llh_m"))
     return scored.withColumn("hyp", F.when(F.col("llh_f") >= F.col("llh_m"), "F").otherwise("M"))
@@ -915,6 +915,14 @@ def svc_linear(spark, sf_dir):
     return rows.select("fileid", "split", "ref", r6(score).alias("score"), F.when(score > 0, "F").otherwise("M").alias("hyp"))
 
 
+@query()
+def kernel_ridge(spark, sf_dir):
+    """Ages by kernel ridge regression behind a scaler with two penalties, fitted on the training rows, predicted for all; and how far the kernel reaches beyond the landmarks."""
+    rows = _split(spark, sf_dir)
+    one, tenth = kernels.kernel_ridge(rows.where("split = 'train'"), "x", "age", [1.0, 0.1], gamma=0.002, landmarks=400)
+    return rows.select("fileid", "split", F.col("age").alias("ref"), r6(one.column(F.col("x"))).alias("hyp"), r6(tenth.column(F.col("x"))).alias("hyp_tenth"), F.lit(round(one.residual, 6)).alias("residual"))
+
+
 @query()
 def gbt_fit(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
