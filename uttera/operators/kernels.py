@@ -37,7 +37,7 @@ def _nearest(x: Column, centres: np.ndarray) -> Column:
     return run(x)
 
 
-def starts(rows: DataFrame, k: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
+def starts(rows: DataFrame, k: int, rounds: int = 3, seed: int = 0) -> np.ndarray:
     """k centres by k-means||: rounds draw about 2 k rows each with chances by their squared distance to the centres so far; the drawn ones, weighted by the
     rows nearest to them, are thinned to k on the driver. Chances come from a hash of the vector, and equal vectors are drawn once."""
     first = rows.orderBy(F.xxhash64("_x", F.lit(seed)), "_x").limit(1).collect()
@@ -71,7 +71,7 @@ def starts(rows: DataFrame, k: int, rounds: int = 5, seed: int = 0) -> np.ndarra
     return centres[chosen]
 
 
-def lloyd(rows: DataFrame, centres: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lloyd(rows: DataFrame, centres: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """k-means from given centres: centres, and of each the number of rows and the squares' sums, of the last assignment."""
     k, d = centres.shape
     for _ in range(rounds + 1):

@@ -10,14 +10,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttera.functions.arrays import gaussian_log_density
+from uttera.functions.arrays import gaussian_log_density, let
 
 
 def gmm_log_likelihood(x, model):
     """Log likelihood of a vector under a mixture, as a column."""
     logs = F.array(*[F.lit(math.log(max(w, 1e-12))) + gaussian_log_density(x, m, v) for w, m, v in model])
-    top = F.array_max(logs)
-    return top + F.log(F.aggregate(F.transform(logs, lambda a: F.exp(a - top)), F.lit(0.0), lambda a, b: a + b))
+    summed = lambda v, top: top + F.log(F.aggregate(F.transform(v, lambda a: F.exp(a - top)), F.lit(0.0), lambda a, b: a + b))
+    return let(logs, lambda v: let(F.array_max(v), lambda top: summed(v, top)))
 
 
 def ridge(df: DataFrame, vec: str, target: str, alpha: float) -> LinearRegression:

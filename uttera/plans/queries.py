@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from uttera.functions import arrays as A
 from uttera.functions import scalars as S
 from uttera.functions import text as T
-from uttera.operators import alignment, audio, dsp, evaluation, intervals, kernels, linear, mlp, models, sampling
+from uttera.operators import alignment, audio, dsp, evaluation, intervals, kernels, linear, mlp, models, registry, sampling
 from uttera.sources import readers
 from uttera.sources.sinks import submission, wav_column
-from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, table, text_pairs, turn_pairs, utterances
+from uttera.sources.tables import FRAMES_SQL, PRED_SQL, TURNS_SQL, UTT_SQL, frames, predictions, spread, table, text_pairs, turn_pairs, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -581,7 +581,7 @@ _TOK = lambda t: f"CASE WHEN {_NORM(t)} = '' THEN [] ELSE string_split({_NORM(t)
 
 # no SQL says the distance of whole texts in reasonable time; tests hold these two against brute force
 def _wer(spark, sf_dir):
-    p = text_pairs(spark, sf_dir).withColumn("r", T.number_normalised(T.tokens(F.col("ref")))).withColumn("h", T.number_normalised(T.tokens(F.col("hyp"))))
+    p = spread(text_pairs(spark, sf_dir)).withColumn("r", T.number_normalised(T.tokens(F.col("ref")))).withColumn("h", T.number_normalised(T.tokens(F.col("hyp"))))
     return p.select("doc_id", "lang", F.size("r").cast("long").alias("n_ref"), dsp.edit_distance_column(F.col("r"), F.col("h")).cast("long").alias("edits"))
 
 
@@ -597,7 +597,7 @@ def wer_corpus(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
+    p = spread(text_pairs(spark, sf_dir))
     return p.select("doc_id", "lang", T.number_normalised(T.tokens(F.col("ref"))).alias("r"), T.number_normalised(T.tokens(F.col("hyp"))).alias("h"))
 
 
@@ -1009,9 +1009,22 @@ def audio_coercion(spark, sf_dir):
     return rows.select("vec_id", "rate", F.length("wav").alias("bytes_in"), F.length("out").alias("bytes_out"), (F.col("wav") == F.col("out")).alias("unchanged"), F.round(F.sqrt(A.mean(F.transform("x", lambda v: v * v))), 3).alias("rms"))
 
 
+@query()
+def feature_pipeline(spark, sf_dir):
+    """From the bytes of WAV files to metrics by names alone: a feature set and an estimator make a pipeline that is fitted on train and scored on both parts."""
+    rows = wav_column(_tones(spark, sf_dir), "wave").select("vec_id", "wav", F.col("hz").cast("double").alias("hz"), F.when(F.col("vec_id") % 4 == 0, "dev").otherwise("train").alias("split"))
+    fitted = registry.pipeline("spectral", "ridge", "hz", penalty=0.1).fit(rows.where("split = 'train'"))
+    return evaluation.metrics(fitted.transform(rows).withColumnRenamed("prediction", "hyp"), ["split"], "hz", "hyp")
+
+
 @query()
 def ter(spark, sf_dir):
-    p = text_pairs(spark, sf_dir).select("doc_id", T.tokens(F.col("ref")).alias("r"), T.tokens(F.col("hyp")).alias("h"))
+    """Edits with shifts of whole texts against themselves with the first five words in the middle and every 400th word another."""
+    r, n = T.tokens(F.col("text")), F.size("r")
+    half = F.floor((n - 5) / 2).cast("int")
+    moved = F.concat(F.slice("r", 6, half), F.slice("r", 1, 5), F.slice("r", half + 6, F.greatest(n, F.lit(0))))
+    p = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", r.alias("r")).withColumn("h", F.when(n >= 20, moved).otherwise(F.col("r")))
+    p = p.withColumn("h", F.transform("h", lambda w, i: F.when((i + 1) % 400 == 0, "eight").otherwise(w)))
     return p.select("doc_id", F.size("r").alias("n_ref"), dsp.translation_edits_column(F.col("r"), F.col("h")).alias("edits"))
 
 

@@ -85,3 +85,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter(F.transform("w", lambda w, i: F.when((i + 1) % 5 == 0, None).when((i + 1) % 7 == 0, "eight").otherwise(w)), lambda w: w.isNotNull())
     return rows.select("doc_id", "lang", F.array_join("w", " ").alias("ref"), F.array_join(kept, " ").alias("hyp"))
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to at least four tasks a core: for work on texts that costs far more than moving them, whatever lay in one file or row group."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
