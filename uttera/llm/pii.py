@@ -2,9 +2,11 @@
 
 * Base spans come from the four contract patterns and checks; they always stay.
 * Candidates are base spans and what wider patterns match: spelled-out addresses, numbers in telephone
-  layout without a plus sign, digit groups in card layout, and secrets: long runs of letters and digits.
+  layout without a plus sign, digit groups in card layout, and secrets: long runs of letters and digits. A card
+  or telephone match that fails as a whole proposes the parts of it that pass: cards standing side by side, a number before other digits.
 * Labelers vote 1, 0 or abstain (2) on each candidate: the contract's check, the layout, a gazetteer (mail domains,
-  card number starts, names of secrets), the context before the span, and the characters beside it.
+  card number starts, country codes, names of secrets), the context before the span, and the characters beside it. The check votes
+  3 on a part: it passes, yet that doesn't settle the case, since a part can pass by chance.
 * Votes are counted by kind and pattern over all documents (grouped aggregation; the number of patterns is
   bounded by the labelers). EM on these counts (Dawid-Skene, one coin for each labeler and class) gives each
   pattern a posterior. What a check decides is known: a span that passes is personal data, one that fails isn't; these
@@ -38,7 +40,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in their order in a list of spans; the last is only found by the method.
 KINDS = (*BASE_KINDS, "secret")
 LABELERS = ("check", "layout", "gazetteer", "context", "beside")
-ABSTAIN = 2
+ABSTAIN, PART = 2, 3
 #: Posterior from which a candidate that isn't a base span is added.
 THRESHOLD = 0.9
 #: What a labeler's reliability is before any vote, and how much that weighs against its votes.
@@ -70,6 +72,9 @@ _ASSIGNED = re.compile(r"[:=] ?[\"']?$")
 #: Lengths of keys and digests in hexadecimal.
 _BLANK = ("", " ", "\t", "\n", "\r")
 _HEX_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+#: Country codes after the plus sign.
+_COUNTRY = re.compile(r"\+ ?\(?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[058]|9[679])[0-9])")
+_GROUP = re.compile(r"[0-9]+")
 _TOP = frozenset("com org net edu gov io de fr es uk eu info".split())
 
 
@@ -118,6 +123,37 @@ def base_spans(text: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def card_parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Runs of whole digit groups inside a failed card match that pass on their own, leftmost first, not overlapping.
+
+    From a group on, at most 19 digits are read, so this is linear in the match.
+    """
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    out, i = [], 0
+    while i < len(groups):
+        digits, took = "", 0
+        for j in range(i, len(groups)):
+            if groups[j][1] - groups[j][0] > 19 - len(digits):
+                break
+            digits += text[groups[j][0] : groups[j][1]]
+            if len(digits) >= 12 and (i or j < len(groups) - 1) and luhn(digits):
+                out.append((groups[i][0], groups[j][1]))
+                took = j + 1 - i
+                break
+        i += took or 1
+    return out
+
+
+def phone_part(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The shortest run of whole digit groups from the plus sign of a failed match on that has 9 to 15 digits."""
+    digits = 0
+    for m in _GROUP.finditer(text, start, end):
+        digits += m.end() - m.start()
+        if digits >= 9:
+            return [(start, m.end())] if digits <= 15 and m.end() < end else []
+    return []
+
+
 def _bits(span: str) -> float:
     """Bits a character, by the characters' shares."""
     return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
@@ -136,7 +172,7 @@ def votes(text: str, start: int, end: int, kind: str, check: int) -> str:
         gazetteer = 1 if span[0] in "3456" else 0
     elif kind == "phone":
         layout = 1 if re.search(r"[0-9]{3}[-. )]+[0-9]{3,4}", span) else ABSTAIN
-        gazetteer = ABSTAIN
+        gazetteer = ABSTAIN if span[0] != "+" else 1 if _COUNTRY.match(span) else 0
     elif kind == "secret":
         hexadecimal = not span.strip("0123456789abcdefABCDEF") and len(span) in _HEX_LENGTHS
         mixed = not (span.islower() or span.isupper()) and len(span) >= 20
@@ -147,7 +183,7 @@ def votes(text: str, start: int, end: int, kind: str, check: int) -> str:
     else:
         layout = 1 if not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 0
         gazetteer = 0 if span.startswith("0.") else ABSTAIN
-    context = 1 if _CONTEXT[kind].search(left) else (0 if check == ABSTAIN else ABSTAIN)
+    context = 1 if _CONTEXT[kind].search(left) else 0
     beside = 0 if before.isalnum() or after.isalnum() or before in ("-", "/", "=") and before else 1
     return f"{check}{layout}{gazetteer}{context}{beside}"
 
@@ -158,6 +194,8 @@ def candidates(text: str | None) -> list[tuple[int, int, str, bool, str]]:
     found = base_spans(text)
     out = [(s, e, k, True, votes(text, s, e, k, 1)) for s, e, k, ok in found if ok]
     wide = [(s, e, k, 0) for s, e, k, ok in found if not ok]
+    for s, e, k, _ in list(wide):
+        wide += [(a, b, k, PART) for a, b in (card_parts(text, s, e) if k == "card" else phone_part(text, s, e) if k == "phone" else ())]
     if "dot" in text:
         wide += [(m.start(), m.end(), "email", ABSTAIN) for m in _SPELLED.finditer(text)]
     if _DIGITS.search(text):
@@ -230,7 +268,9 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tupl
     kind = np.array([KINDS.index(k) for k, _ in keys])
     v = np.array([[int(c) for c in x] for _, x in keys])
     n = np.array([counts[k] for k in keys], float)
-    cast, passed, failed = v != ABSTAIN, v[:, 0] == 1, v[:, 0] == 0
+    passed, failed = v[:, 0] == 1, v[:, 0] == 0
+    v[v == PART] = 1
+    cast = v != ABSTAIN
     open_ = ~(passed | failed)
     post = (np.where(cast, v, 0).sum(1) + 0.5) / (cast.sum(1) + 1)
     for _ in range(rounds):
@@ -248,7 +288,7 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tupl
 def span_features(kind: str, v: str) -> np.ndarray:
     x = [1.0, *[float(kind == k) for k in KINDS]]
     for c in v:
-        x += [float(c == "1"), float(c == "0")]
+        x += [float(c in "13"), float(c == "0")]
     return np.array(x)
 
 
@@ -276,7 +316,7 @@ def accepted(counts: dict[tuple[str, str], int], threshold: float = THRESHOLD) -
 
 
 def pattern_counts(found: DataFrame, column: str) -> dict[tuple[str, str], int]:
-    """Counts of kind/votes over all documents: at most 5 * 3^5 rows reach the driver."""
+    """Counts of kind/votes over all documents: at most 5 * 4 * 3^4 rows reach the driver."""
     rows = found.select(F.explode(F.col(column)["seen"]).alias("p")).groupBy("p").count().collect()
     return {tuple(r["p"].split("/")): r["count"] for r in rows}
 
@@ -301,17 +341,23 @@ def all_spans(found: Column, take: list[str]) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans and the number of added ones of each row of docs (doc_id, text)."""
+    """Of each row of docs (doc_id, text): doc_id, counts of base spans, base_sha256, spans, and how many of them were added.
+
+    n_parts counts parts of failed matches, n_added all others.
+    """
     small_batches(docs.sparkSession)
     found = written(docs.select("doc_id", found_column(F.col("text")).alias("f")), "pii")
     take = accepted(pattern_counts(found, "f"))
     rows = found.select(
         "doc_id", *[F.col("f")[f"n_{k}"].alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.col("f")["base"].cast("binary"), 256).alias("base_sha256"),
+        F.transform(F.filter(F.col("f")["wide"], lambda w: w["votes"].startswith(str(PART))), lambda w: F.concat_ws(":", w["kind"], w["s"], w["e"])).alias("parts"),
         F.when(F.size(F.col("f")["wide"]) == 0, F.col("f")["base"]).otherwise(all_spans(F.col("f"), take)).alias("spans"),
     )
     n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ",")))
-    return rows.withColumn("n_added", (n_spans - sum(F.col(f"n_{k}") for k in BASE_KINDS)).cast("long"))
+    n_parts = F.size(F.array_intersect(F.split("spans", ","), F.col("parts"))).cast("long")
+    rows = rows.withColumn("n_parts", n_parts).drop("parts")
+    return rows.withColumn("n_added", (n_spans - sum(F.col(f"n_{k}") for k in BASE_KINDS)).cast("long") - F.col("n_parts"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
