@@ -101,16 +101,11 @@ def packed(docs: DataFrame, length: str, order: list[str], buckets: int = BUCKET
     rows = docs.withColumn(bin_, bin_of(F.col(length))).withColumn(names["bucket_length"], bucket).drop(bin_)
     rows = rows.withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
     key = [names["bucket_length"], shard]
-    sizes = rows.groupBy(*key).count().collect()  # at most buckets * shards rows
-    before: dict[int, int] = {}
-    starts = []
-    for b, s, n in sorted(tuple(r) for r in sizes):
-        starts.append((b, s, before.get(b, 0)))
-        before[b] = before.get(b, 0) + n
-    start = free_name(docs, "_pk_start")
-    starts = docs.sparkSession.createDataFrame(starts, f"`{key[0]}` long, `{shard}` int, `{start}` long")
+    start, size_of = free_name(docs, "_pk_start"), free_name(docs, "_pk_size")
+    before = Window.partitionBy(key[0]).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*key).agg(F.count("*").alias(size_of)).withColumn(start, F.sum(size_of).over(before)).drop(size_of)
     rows = rows.withColumn(rn, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    rows = rows.join(F.broadcast(starts), key, "left")
+    rows = rows.join(starts, key, "left")  # dealt as the window is, so rows don't move again
     at = F.coalesce(F.col(start), F.lit(0)) + F.col(rn) - 1
     size = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col(key[0])))
     rows = rows.withColumn(names["batch"], F.floor(at / size).cast("long")).withColumn(names["slot"], (at - F.floor(at / size) * size).cast("long"))
