@@ -201,7 +201,9 @@ def judged(evidence: DataFrame, sites: DataFrame, top: float, site_weight: float
     if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
         rows = rows.join(F.broadcast(sites), "_site", "left")
     else:
-        rows = salted_lookup(rows, sites, ["_site"], F.struct("p", F.monotonically_increasing_id()))
+        # a salt that a retried task finds again: the row's own hash, of JSON where a type has none
+        values = [F.to_json(F.struct(f"`{c}`")) if "map<" in t or t == "variant" else F.col(f"`{c}`") for c, t in evidence.dtypes]
+        rows = salted_lookup(rows, sites, ["_site"], F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]))
     moved = _log_odds(F.col("p")) + site_weight * (_log_odds(F.col("path_posterior")) - _log_odds(F.lit(top)))
     rows = rows.drop("_site").withColumn("posterior", 1 / (1 + F.exp(-moved)))
     return rows.withColumn("kept", F.col("posterior") >= threshold)
