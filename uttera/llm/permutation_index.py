@@ -3,11 +3,11 @@
 * Pivots are PIVOTS vectors, chosen by a hash of the id (a bounded, documented sample). All rows are indexed.
 * A row is represented by its PREFIX nearest pivots in order. Rows are dealt by a hash to blocks of BLOCK
   rows. Inside a block each pivot has an inverted file of (row, position).
-* Queries are packed in blocks, too; each block of rows meets each block of queries once. A query reads the
-  inverted files of its own PREFIX pivots and sums the footrule distance |position in row - position in
+* Queries are packed in blocks, too, and STRIP of these meet a block of rows in one task, which builds the block's
+  inverted files once; each block of rows meets each strip once. A query reads the inverted files of its own PREFIX pivots and sums the footrule distance |position in row - position in
   query|, a pivot missing on either side counting as position PREFIX. The SHARE of the block with the least
   distance, RERANK rows at least, is reranked by Euclidean distance in double precision.
-* Each pair of blocks leaves k rows a query; the best k of these are the result.
+* Each block of rows leaves k rows a query; the best k of these are the result.
 
 Of rows with equal vectors only the k + 1 with the smallest ids can be among any k nearest, so only they are
 indexed: however many copies a vector has, the result is the same.
@@ -19,8 +19,6 @@ once. Ties go to the smaller id. Fewer than k candidates give fewer rows; an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from uttera.llm.common import written
 
-PIVOTS, PREFIX, BLOCK, QUERY_BLOCK = 256, 64, 8192, 512
+PIVOTS, PREFIX, BLOCK, QUERY_BLOCK, STRIP = 256, 64, 8192, 512, 16
 RERANK, SHARE = 256, 0.08
 
 
@@ -92,14 +90,16 @@ _BLOCKS_SQL = "block int, ids binary, data binary"
 def _search(pivots: np.ndarray, k: int, share: float):
     prefix = min(PREFIX, len(pivots))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, data, qids, qdata in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "qids", "qdata")), strict=True):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                x, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(qdata).reshape(len(qids), -1)
-                files = inverted_files(nearest_pivots(x, pivots, prefix), len(pivots))
-                keep = min(len(ids), max(RERANK, int(np.ceil(share * len(ids)))))
-                out: list[tuple] = []
+    def run(block: pa.Table, strip: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if block.num_rows and strip.num_rows:
+            ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
+            x = np.frombuffer(block.column("data")[0].as_py()).reshape(len(ids), -1)
+            files = inverted_files(nearest_pivots(x, pivots, prefix), len(pivots))
+            keep = min(len(ids), max(RERANK, int(np.ceil(share * len(ids)))))
+            for qids, qdata in zip(strip.column("qids"), strip.column("qdata"), strict=True):
+                qids = np.frombuffer(qids.as_py(), np.int64)
+                q = np.frombuffer(qdata.as_py()).reshape(len(qids), -1)
                 for i, order in enumerate(nearest_pivots(q, pivots, prefix)):
                     near = np.arange(len(ids))
                     if keep < len(ids):
@@ -108,7 +108,7 @@ def _search(pivots: np.ndarray, k: int, share: float):
                     d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                     best = np.lexsort((ids[near], d))[:k]
                     out += [(int(qids[i]), int(ids[near[j]]), float(d[j])) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -127,13 +127,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHA
         df = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias("block"), "vec_id", "v")
         return written(df.groupBy("block").applyInArrow(_block, _BLOCKS_SQL), name)
 
-    left = packed(rows, blocks, "index").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = packed(queries, query_blocks, "queries").select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    strips = -(-query_blocks // STRIP)
+    left = packed(rows, blocks, "index").withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    right = packed(queries, query_blocks, "queries").select((F.col("block") % strips).alias("strip"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.join(right, ["block", "qblock"]).select("ids", "data", "qids", "qdata")
     if not len(pivots):
         pivots = np.zeros((1, 1))
-    # one pair of blocks at a time: a partition's pairs never meet in one Arrow batch beyond a few megabytes each
-    found = pairs.repartition(max(1, min(blocks * query_blocks, 4096))).mapInArrow(_search(pivots, k, share), "query_id long, vec_id long, score double")
+    pairs = left.groupBy("block", "strip").cogroup(right.groupBy("block", "strip"))
+    found = pairs.applyInArrow(_search(pivots, k, share), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
