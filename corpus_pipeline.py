@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back
 as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, stage by stage: a null, blank or short text fails the base rules and goes in the first. Without labels the
+two quality stages reject by the base rules alone. Rows that repeat id and text are copies, one stays; rows without an id stay
+in the third stage. A null text stays null where personal data is masked. Each row that is left gets one slot. Columns
+beyond those of documents pass through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
