@@ -142,9 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
         return pd.Series([slots(t) for t in texts])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `known` has at most `sample` rows
-    # repeated ids could exceed the bound: the smallest hashes of (id, text) decide which stay
-    rows = rows.select("doc_id", "good", featured("text").alias("f"), F.xxhash64("doc_id", "text").alias("_o"))
-    found = rows.orderBy("_o").limit(2 * sample).collect()
+    rows = rows.select("doc_id", "good", "text", F.xxhash64("doc_id", "text").alias("_o"))
+    # repeated ids could exceed the bound: the smallest hashes of (id, text) decide which stay. They are counted first, so
+    # that copies are featured once and no task sends the driver more than the lists that it keeps
+    firsts = rows.groupBy("_o").agg(F.count("*").alias("n")).orderBy("_o").limit(2 * sample).collect()
+    times, left = {}, 2 * sample
+    for r in firsts:
+        if left > 0:
+            times[r["_o"]] = min(left, r["n"])
+            left -= r["n"]
+    chosen = rows.where(F.col("_o") <= max(times, default=0)).dropDuplicates(["_o"]).select("doc_id", "good", featured("text").alias("f"), "_o").collect()
+    found = [r for r in chosen for _ in range(times[r["_o"]])]
     found.sort(key=lambda r: (r["doc_id"], r["f"]))
     x, good = [r["f"] for r in found], np.array([r["good"] for r in found], bool)
     if not found:
