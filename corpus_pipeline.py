@@ -1,7 +1,8 @@
 """The corpus pipeline: rules, classifier, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back
-as the next stage's docs. All but the last return the columns of documents.
+as the next stage's docs. All but the last return the columns of documents. Each sends the package to the executors first, so that it can
+be called alone where they don't have it.
 
 Defined cases, stage by stage: a null, blank or short text fails the base rules and goes in the first. Without labels the
 two quality stages reject by the base rules alone. Rows that repeat id and text are copies, one stays; rows without an id stay
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from uttera.llm import ngram_join, packing, pii, quality_classifier, quality_rules, token_counts
 from uttera.llm.common import free_name, table, written
 from uttera.llm.queries import gpt_pattern, tokenizer_path
+from uttera.session import shipped
 
 
+@shipped
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the decision list keeps. The list is learned from the labelled rows of the documents table."""
     learned = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -26,6 +29,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, learned).where(F.col(name)["kept"]).drop(name)
 
 
+@shipped
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the site-aware classifier keeps."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -33,17 +37,20 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model, F.col("source"), F.col("lang")).where(F.col(name)["kept"]).drop(name)
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return ngram_join.deduplicated(docs)
 
 
+@shipped
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked; n_chars follows the new text."""
     out = pii.masked(docs)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
+@shipped
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of each document."""
     docs = docs.select("doc_id", "text")
